@@ -44,5 +44,10 @@ def block_join(
 
     a = cut(left, "_nl", "_nr", left_id, "_lb", "_rb")
     b = cut(right, "_nr", "_nl", right_id, "_rb", "_lb")
-    keys = ["_cell", "_lb", "_rb"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernel, schema)
+    return pair_groups(a, b, ["_cell", "_lb", "_rb"], kernel, schema)
+
+
+def pair_groups(left: DataFrame, right: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
+    """Cogroup of two sides that may stem from the same rows (fresh column names tell them apart)."""
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
