@@ -14,13 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaspark.session import materialize
+
 BLOCK_ROWS = 4096
 
 
-def _hot(side: DataFrame, out: str, block_rows: int) -> DataFrame:
-    """Cells with more than one block. There are fewer of them than rows / block_rows."""
-    counts = side.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-    return counts.select("_cell", F.ceil(F.col("_n") / block_rows).cast("int").alias(out))
+def _crowded(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
+    """Cells that need more than one block on a side, with the blocks per side. Fewer of
+    them exist than rows / block_rows."""
+    both = left.select("_cell", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("_cell", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counts = both.groupBy("_cell").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    # a cell that one side lacks has nothing to meet
+    many = counts.where(((F.col("l") > block_rows) | (F.col("r") > block_rows)) & (F.col("l") > 0) & (F.col("r") > 0))
+    return many.select("_cell", F.ceil(F.col("l") / block_rows).cast("int").alias("_nl"),
+                       F.ceil(F.col("r") / block_rows).cast("int").alias("_nr"))
 
 
 def block_join(
@@ -32,10 +40,12 @@ def block_join(
     Both sides carry ``_cell``. A row that matters to several cells appears once in each.
     The ids only spread rows over blocks, evenly and the same way on every attempt.
     """
-    nl, nr = _hot(left, "_nl", block_rows), _hot(right, "_nr", block_rows)
+    crowded = materialize(_crowded(left, right, block_rows))
+    if crowded.isEmpty():
+        return pair_groups(left, right, ["_cell"], kernel, schema)
 
     def cut(side: DataFrame, own: str, other: str, ident: Column, own_block: str, other_block: str) -> DataFrame:
-        sized = side.join(nl, "_cell", "left").join(nr, "_cell", "left").fillna(1, ["_nl", "_nr"])
+        sized = side.join(crowded, "_cell", "left").fillna(1, ["_nl", "_nr"])
         return (
             sized.withColumn(own_block, F.pmod(F.xxhash64(ident, F.lit(17)), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))

@@ -112,13 +112,12 @@ def tile(gx: Column, gy: Column) -> Column:
     return F.shiftleft(gx.cast("bigint"), 32) + gy.cast("bigint")
 
 
-def tile_side(points: DataFrame, smallest: float, rows_per_tile: int) -> float:
-    """Edge of tiles that hold about ``rows_per_tile`` points each."""
-    b = bounds(points).first()
-    if not b["n"]:
+def tile_side(box, smallest: float, rows_per_tile: int) -> float:
+    """Edge of tiles that hold about ``rows_per_tile`` points each, given their bounds."""
+    if not box["n"]:
         return smallest
-    extent = max(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"], smallest)
-    return max(smallest, extent * math.sqrt(rows_per_tile / b["n"]))
+    extent = max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"], smallest)
+    return max(smallest, extent * math.sqrt(rows_per_tile / box["n"]))
 
 
 def own_tile(side: float) -> Column:
@@ -143,7 +142,7 @@ def hit_test(taps: DataFrame, points: DataFrame, camera, width: float, height: f
     wx = (F.col("px") - width / 2) / camera["scale"] + camera["x"]
     wy = (F.col("py") - height / 2) / camera["scale"] + camera["y"]
     world = taps.select("tap_id", wx.alias("x"), wy.alias("y"))
-    side = tile_side(points, 2 * ITEM, rows_per_tile)
+    side = tile_side(bounds(points).first(), 2 * ITEM, rows_per_tile)
     left = world.withColumn("_cell", F.explode(reached_tiles(ITEM, side)))
     right = points.select("media_id", "x", "y", own_tile(side).alias("_cell"))
 

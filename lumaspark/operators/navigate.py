@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumaspark.functions.paths import folder_of
 from lumaspark.operators.blocks import pair_groups
 from lumaspark.operators.ordering import ordered_neighbours, slices
-from lumaspark.session import materialize
+from lumaspark.session import materialize, shuffle_width
 
 # direction: (axis it moves along, sign)
 DIRECTIONS = {"left": ("x", -1), "right": ("x", 1), "up": ("y", -1), "down": ("y", 1)}
@@ -18,6 +18,7 @@ DRIFT = 5.0  # weight of squared sideways distance
 WRAP_DRIFT = 2.0  # weight of sideways distance when stepping over the edge
 TILE_ROWS = 2048
 MAX_TILES = 200_000
+FEW_EDGES = 32  # up to here, wrapping steps are aggregates over the points
 
 
 def next_in_direction(points: DataFrame, media_id: int, directions=tuple(DIRECTIONS)) -> DataFrame:
@@ -74,7 +75,8 @@ def _tile_pairs(directory: DataFrame) -> DataFrame:
     lowest possible cost is above the best such bound drop out. The directory has at
     most about MAX_TILES rows, so it can be shipped.
     """
-    shared = directory.sparkSession.sparkContext.broadcast(directory.toPandas())
+    spark, known = directory.sparkSession, directory.toPandas()
+    shared = spark.sparkContext.broadcast(known)
 
     def visit(batches):
         d = shared.value
@@ -98,8 +100,10 @@ def _tile_pairs(directory: DataFrame) -> DataFrame:
                 hit = mask > 0
                 yield pd.DataFrame({"tile": q.tile, "other": ids[hit], "dirs": mask[hit]})
 
-    width = max(1, directory.rdd.getNumPartitions())
-    return directory.repartition(width, "tile").mapInPandas(visit, "tile bigint, other bigint, dirs int")
+    asking = spark.createDataFrame(known)
+    if len(known) > 256:
+        asking = asking.repartition(shuffle_width(spark))
+    return asking.mapInPandas(visit, "tile bigint, other bigint, dirs int")
 
 
 def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +130,7 @@ def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def _steps_ahead(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
     """(gid, dir, dst) for every stack that has a point ahead of it."""
-    tiled = materialize(_tiles(stacks, box, tile_rows))
+    tiled = _tiles(stacks, box, tile_rows)
     directory = tiled.groupBy("tile").agg(
         F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
     pairs = _tile_pairs(directory)
@@ -137,6 +141,27 @@ def _steps_ahead(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
     return best.select("gid", "dir", F.col("b.dst").alias("dst"))
 
 
+def _edge_stacks(stacks: DataFrame, box, most: int) -> list | None:
+    """(gid, x, y) of the stacks with nothing ahead in some direction, or None if they are many."""
+    outer = F.col("x").isin(box["min_x"], box["max_x"]) | F.col("y").isin(box["min_y"], box["max_y"])
+    found = stacks.where(outer).select("gid", "x", "y").limit(most + 1).collect()
+    return found if len(found) <= most else None
+
+
+def _steps_from_few(stacks: DataFrame, box, few: list) -> DataFrame:
+    """Wrapping steps of a bounded list of stacks: one aggregation over all points."""
+    picks = []
+    for s in few:
+        for name, (axis, sign) in DIRECTIONS.items():
+            if s[axis] != (box[f"max_{axis}"] if sign > 0 else box[f"min_{axis}"]):
+                continue
+            vx, vy = F.col("x") - s["x"], F.col("y") - s["y"]
+            proj, orth = (vx * sign, F.abs(vy)) if axis == "x" else (vy * sign, F.abs(vx))
+            best = F.min(F.when(F.col("gid") != s["gid"], F.struct((proj + orth * WRAP_DRIFT).alias("s"), F.col("gid").alias("i"))))
+            picks.append(F.struct(F.lit(s["gid"]).alias("gid"), F.lit(name).alias("dir"), best["s"].alias("score"), best["i"].alias("dst")))
+    return stacks.agg(F.array(*picks).alias("p")).select(F.inline("p")).where(F.col("dst").isNotNull())
+
+
 def _steps_over_edge(stacks: DataFrame, box, axis: str) -> DataFrame:
     """(gid, dir, score, dst) for the stacks at either end of an axis, which have none ahead.
 
@@ -184,12 +209,12 @@ def _steps_over_edge(stacks: DataFrame, box, axis: str) -> DataFrame:
     return flat.where(F.col("r").isNotNull()).select("gid", "r.*")
 
 
-def nav_graph(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nav_graph(points: DataFrame, tile_rows: int = TILE_ROWS, few_edges: int = FEW_EDGES) -> DataFrame:
     """Where a step in each direction leads, for every point: (media_id, left, right, up, down).
 
     Exactly what ``next_in_direction`` gives point by point. Points at one place form a
-    stack; a stack asks only the tiles that can hold its answer, and wrapping steps,
-    which only the outermost points need, come from a sorted sweep.
+    stack; a stack asks only the tiles that can hold its answer. Wrapping steps, which only the
+    outermost points need, are aggregates when few and a sorted sweep when many.
     """
     from lumaspark.operators.summary import bounds
 
@@ -202,7 +227,11 @@ def nav_graph(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
         return pts.select("media_id", *(F.lit(None).cast("bigint").alias(d) for d in DIRECTIONS))
     tile_rows = max(tile_rows, -(-box["n"] // MAX_TILES))
     ahead = _steps_ahead(stacks, box, tile_rows).select("gid", "dir", F.lit(True).alias("is_ahead"), F.lit(0.0).alias("score"), "dst")
-    over = _steps_over_edge(stacks, box, "x").unionByName(_steps_over_edge(stacks, box, "y"))
+    few = _edge_stacks(stacks, box, few_edges)
+    if few is not None:
+        over = _steps_from_few(stacks, box, few)
+    else:
+        over = _steps_over_edge(stacks, box, "x").unionByName(_steps_over_edge(stacks, box, "y"))
     over = over.select("gid", "dir", F.lit(False).alias("is_ahead"), "score", "dst")
     steps = ahead.unionByName(over).groupBy("gid").agg(*(
         F.max(F.when(F.col("dir") == d, F.struct("is_ahead", "score", "dst"))).alias(f"_{d}") for d in DIRECTIONS))
