@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,24 +25,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lum
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a local master may fall back to /tmp."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; only a local master may fall back to /tmp."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumaspark-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        known = tempfile.mkdtemp(prefix="lumaspark-ckpt-")
+        sc.setCheckpointDir(known)
+    return known.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and pins values such as partition numbers."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes rows to a table in the shared folder and reads it back.
+
+    It cuts the lineage, pins values such as partition numbers, survives the loss of any
+    executor, and gives the planner real sizes, so small tables join without a shuffle.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/lumaspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
