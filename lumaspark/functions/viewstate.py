@@ -21,20 +21,21 @@ def parse_view_state(c) -> Column:
     c = _col(c)
     dt = F.when(c.startswith("#dt:"), F.substring(c, 5, 64))
     ok = dt.rlike(_DT_PATTERN)
+    # the pattern fixes every place, so one match is enough and the parts are substrings
+    has_hour = F.substring(dt, 11, 1) == "T"
+    has_minute = F.when(has_hour, F.length(dt) == 16).otherwise(F.length(dt) == 13)
 
-    def part(i: int, top: int, low: int = 0) -> Column:
-        v = F.nullif(F.regexp_extract(dt, _DT_PATTERN, i), F.lit("")).try_cast("int")
+    def part(text: Column, top: int, low: int = 0) -> Column:
+        v = text.try_cast("int")
         return F.when(v.between(low, top), v)
 
-    def has(i: int) -> Column:
-        return F.regexp_extract(dt, _DT_PATTERN, i) != ""
-
     none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
     instant = F.struct(
         F.lit("datetime").alias("type"), none_s.alias("path"),
-        F.when(has(5), F.lit("minute")).when(has(4), F.lit("hour")).otherwise(F.lit("day")).alias("granularity"),
-        part(1, 9999).alias("year"), part(2, 12, 1).alias("month"), part(3, 31, 1).alias("day"),
-        part(4, 23).alias("hour"), part(5, 59).alias("minute"),
+        F.when(has_minute, F.lit("minute")).when(has_hour, F.lit("hour")).otherwise(F.lit("day")).alias("granularity"),
+        part(F.substring(dt, 1, 4), 9999, 1).alias("year"), part(F.substring(dt, 6, 2), 12, 1).alias("month"),
+        part(F.substring(dt, 9, 2), 31, 1).alias("day"), part(F.when(has_hour, F.substring(dt, 12, 2)), 23).alias("hour"),
+        part(F.when(has_minute, F.substring(dt, -2, 2)), 59).alias("minute"),
     ).cast(_TYPE)
     folder = F.struct(
         F.lit("folder").alias("type"), F.substring(c, F.lit(9), F.length(c)).alias("path"),

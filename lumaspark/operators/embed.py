@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from lumaspark.functions.keys import caption_key
 from lumaspark.functions.text import prefix_text
+from lumaspark.session import widen
 
 DIMS = 768
 _WORD = re.compile(r"[a-z0-9]+")
@@ -68,7 +69,7 @@ def embed_text(df: DataFrame, task: str = "query", text: str = "text", make_pred
 
     model = predict_batch_udf(_at_unit_length(make_predict_fn or hashed_words()),
                               return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return df.withColumn("vector", model(prefix_text(text, task)))
+    return widen(df).withColumn("vector", model(prefix_text(text, task)))
 
 
 def embed_one(text: str, make_predict_fn=None) -> list[float]:

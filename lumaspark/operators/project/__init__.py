@@ -25,7 +25,9 @@ def project(vectors: DataFrame, method: str = "TSNE", seed: int = 0, key: str =
         k = neighbour_count(n)
         if n == 0:
             return rows.sparkSession.createDataFrame([], "media_id bigint, x double, y double")
-        if n <= 2 or method == "PCA":
+        if n == 1:
+            return rows.selectExpr("media_id", "0.0D AS x", "0.0D AS y")
+        if n == 2 or method == "PCA":
             return linear.pca(rows)
         if method == "MDS":
             return linear.classical_mds(rows)

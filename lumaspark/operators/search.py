@@ -11,6 +11,7 @@ from lumaspark.functions.text import SELECTED_COLOR, TOP_COLOR, cluster_color, i
 from lumaspark.functions.vectors import SCORE_DECIMALS, angular_distance, as_doubles, cosine, norm
 from lumaspark.operators.blocks import BLOCK_ROWS, block_join
 from lumaspark.operators.ordering import ordered_rank
+from lumaspark.session import materialize
 
 BROADCAST_BYTES = 64 << 20  # query matrices up to this size go to every executor
 
@@ -132,10 +133,11 @@ def search_many(
 
     Query matrices below ``broadcast_bytes`` (measured first) visit the corpus where it
     lies: each task keeps the best k per query and sends only those. Larger query sets
-    meet the corpus in blocks. Blank queries should be removed before (``non_blank``).
+    meet the corpus in blocks. A zero vector on either side has no score and no place in
+    the result. Blank queries should be removed before (``non_blank``).
     """
-    queries = queries.select(query_key, F.col("vector").alias("vector")).where(norm("vector") > 0)
-    corpus = corpus.select(key, "vector").where(norm("vector") > 0)
+    queries = materialize(queries.select(query_key, "vector"))  # measured and then used
+    corpus = corpus.select(key, "vector")
     schema = f"{query_key} bigint, {key} bigint, score double"
     if _fits_broadcast(queries, broadcast_bytes):
         found = _search_broadcast(queries, corpus, k, query_key, key, schema)
@@ -225,7 +227,7 @@ class CellIndex:
     def search_many(self, queries: DataFrame, k: int, probes: int = 4, query_key: str = "query_id",
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
         """Top k per query among the ``probes`` nearest cells; all cells gives the exact answer."""
-        queries = queries.select(query_key, "vector").where(norm("vector") > 0)
+        queries = queries.select(query_key, "vector")
         schema = f"{query_key} bigint, {self.key} bigint, score double"
         found = _search_blocks(self._with_cells(queries, probes), self._with_cells(self.corpus, 1), k,
                                query_key, self.key, schema, block_rows)

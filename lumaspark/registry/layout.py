@@ -173,7 +173,7 @@ def _brute(points_cte: str, source: str, where: str) -> str:
 
 @query("navigation_graph", "WITH " + _brute(POINTS_SQL, "pts", ""))
 def navigation_graph(spark, sf):
-    return navigate.nav_graph(points(spark, sf), tile_rows=128)
+    return navigate.nav_graph(points(spark, sf))
 
 
 @query("navigation_graph_folders", "WITH " + _brute(_FOLDERS_SQL + ", cu AS (SELECT DISTINCT x, y, min(media_id) AS media_id FROM (SELECT media_id, floor(x / 720) AS x, floor(y / 720) AS y FROM fl) GROUP BY x, y)", "cu", ""))

@@ -50,3 +50,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads rows before costly Python work, only when the input has fewer parts than
+    the session's shuffles: one small file with long texts, say. Large inputs stay put."""
+    width = shuffle_width(df.sparkSession)
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
