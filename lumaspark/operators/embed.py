@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from lumaspark.functions.keys import caption_key
 from lumaspark.functions.text import prefix_text
-from lumaspark.session import widen
+from lumaspark.session import materialize, widen
 
 DIMS = 768
 _WORD = re.compile(r"[a-z0-9]+")
@@ -144,7 +144,8 @@ def caption_and_embed(files: DataFrame, captions: DataFrame, caption_fn: Callabl
             yield pd.DataFrame({"caption_key": pdf["caption_key"], "caption": texts})
 
     distinct = missing.groupBy("caption_key").agg(F.first(content).alias(content))
-    fresh = distinct.mapInPandas(describe, f"caption_key {fields['caption_key']}, caption string")
+    # both results read the new captions; the model must run once
+    fresh = materialize(widen(distinct).mapInPandas(describe, f"caption_key {fields['caption_key']}, caption string"))
     filled = found.drop("caption").join(
         found.select("caption_key", "caption").where(F.col("caption").isNotNull()).distinct().unionByName(fresh),
         "caption_key", "left",

@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_catalogue(table(spark, sf_dir, "events"))
+
+
+def as_catalogue(e: DataFrame) -> DataFrame:
     """events as a file listing: nested folders, hidden names, mixed and missing extensions."""
-    e = table(spark, sf_dir, "events")
     suffix = F.get(
         F.array(*(F.lit(s) for s in (".JPG", ".png", ".heic", ".mp4", ".webm", ".txt", ".jpeg", ""))),
         F.pmod(F.col("event_id"), F.lit(8)).cast("int"),

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumaspark.functions.keys import path_key
 from lumaspark.operators import cluster, embed, layout, search, summary
+from lumaspark.operators.knn import knn_graph
 from lumaspark.operators.project import graph, linear, project
 from lumaspark.plans import maps as plans
 from lumaspark.registry.data import (
-    CATALOGUE_SQL, MEDIA_SQL, PATH_KEY_SQL, POINTS_SQL, catalogue, media, points, table, vectors,
+    CACHE_KEY_SQL, CATALOGUE_SQL, MEDIA_SQL, PATH_KEY_SQL, POINTS_SQL, as_catalogue, catalogue, media, points, table, vectors,
 )
 from lumaspark.registry.layout import _FOLDERS_SQL
 from lumaspark.registry.vectors import (
     _BOTH_SQL, SCORED, VEC, _cache, _size_model, query_vector,
 )
-from lumaspark.sources import sessions
+from lumaspark.session import checkpoint_dir, materialize
+from lumaspark.sources import cache, sessions
+from lumaspark.sources.media import catalogue_from_tree
+from lumaspark.streaming import media as streams
 from lumaspark.streaming.media import debounce
 
 QUERIES: dict = {}
@@ -36,10 +42,10 @@ START = ((0.1, 0.1), (-0.1, 0.1), (0.1, -0.1), (-0.1, -0.1), (0.0, 0.2))
 ROUNDS = 5
 
 
-def kmeans_sql(rounds: int = ROUNDS) -> str:
+def kmeans_sql(rounds: int = ROUNDS, start: str | None = None) -> str:
     """k-means as one CTE per round: assign, average, keep the centroid of an empty cluster."""
     values = ", ".join(f"({j}, {x}::DOUBLE, {y}::DOUBLE)" for j, (x, y) in enumerate(START))
-    parts = [POINTS_SQL, f"c0(j, cx, cy) AS (VALUES {values})"]
+    parts = [POINTS_SQL, f"c0(j, cx, cy) AS ({start or 'VALUES ' + values})"]
     for r in range(rounds):
         parts.append(f"l{r} AS (SELECT media_id, x, y, arg_min(j, ((x - cx) * (x - cx) + (y - cy) * (y - cy), j)) AS cluster FROM pts, c{r} GROUP BY ALL)")
         if r < rounds - 1:
@@ -75,10 +81,15 @@ def cluster_colors(spark, sf):
     return vectors(spark, sf).select("media_id", cluster_color(c).alias("color"))
 
 
-@query("kmeans_sampled_start")
+_SAMPLED = """SELECT row_number() OVER (ORDER BY h, media_id) - 1 AS j, x AS cx, y AS cy FROM
+  (SELECT *, md5('1:' || CAST(media_id AS VARCHAR)) AS h FROM pts)
+  QUALIFY j < (SELECT least(8, greatest(2, ceil(sqrt(count(*) / 2.0::DOUBLE)))) FROM pts)"""
+
+
+@query("kmeans_sampled_start", f"WITH {kmeans_sql(6, _SAMPLED)} SELECT media_id, CAST(cluster AS INTEGER) AS cluster FROM l5")
 def kmeans_sampled_start(spark, sf):
     p = points(spark, sf)
-    return cluster.kmeans(p, cluster.choose_k(p.count()), seed=1)[0].select("media_id", "cluster")
+    return cluster.kmeans(p, cluster.choose_k(p.count()), max_iter=6, seed=1)[0].select("media_id", "cluster")
 
 
 @query("cluster_count", """WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
@@ -134,20 +145,26 @@ def projection_variance(spark, sf):
     return rows.agg(F.round(sum(kept[1:], kept[0]), 6).alias("total_variance"))
 
 
-@query("geodesic_hops", """WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS a, turn AS t FROM conversations),
-n AS (SELECT a * 1000 + t AS id, a, t FROM e)
-SELECT n.id AS media_id, CAST(n.t - (SELECT min(t) FROM n m WHERE m.a = n.a) AS DOUBLE) AS hops FROM n
-WHERE n.a = (SELECT min(a) FROM n)""")
-def geodesic_hops(spark, sf):
-    """Path lengths from the first turn of the first conversation along its turns."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
-    first = c.agg(F.min(F.struct("conv_id", "turn")).alias("m")).select("m.*").first()
-    ids = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("media_id"))
-    nxt = c.select("conv_id", (F.col("turn") + 1).alias("turn")).join(c, ["conv_id", "turn"])
-    at = F.col("conv_id") * 1000 + F.col("turn")
-    edges = graph.both_ways(nxt.select((at - 1).alias("src"), at.alias("dst"), F.lit(1.0).alias("dist")))
-    state = graph.geodesics(ids, edges, [first["conv_id"] * 1000 + first["turn"]])
-    return state.where(F.col("d0").isNotNull()).select("media_id", F.col("d0").alias("hops"))
+_HOPS = 12
+
+
+def _geodesic_sql() -> str:
+    """Shortest paths from vector 0 along the neighbour graph, one CTE per hop."""
+    parts = [VEC, """near AS (SELECT a.media_id AS src, b.media_id AS dst, round(list_distance(a.v, b.v), 6) AS dist
+      FROM vec a JOIN vec b ON a.media_id <> b.media_id QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 5)""",
+             "e AS MATERIALIZED (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY src, dst)",
+             "h0 AS (SELECT 0::BIGINT AS id, 0::DOUBLE AS d)"]
+    for i in range(_HOPS):
+        parts.append(f"h{i + 1} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM h{i} UNION ALL SELECT src, d + dist FROM h{i} JOIN e ON e.dst = h{i}.id) GROUP BY id)")
+    return f"WITH {', '.join(parts)} SELECT id AS media_id, round(d, 5) AS dist FROM h{_HOPS}"
+
+
+@query("geodesic_distances", _geodesic_sql())
+def geodesic_distances(spark, sf):
+    v = vectors(spark, sf)
+    edges = materialize(graph.both_ways(knn_graph(v, 5, metric="euclidean")))
+    state = graph.geodesics(v.select("media_id"), edges, [0])
+    return state.where(F.col("d0").isNotNull()).select("media_id", F.round("d0", 5).alias("dist"))
 
 
 @query("reconstruction_weight_sums", "SELECT vec_id AS media_id, 1.0::DOUBLE AS total, 10::BIGINT AS n FROM embeddings")
@@ -256,3 +273,43 @@ def captions_embedded(spark, sf):
     stored = stored.select(caption_key().alias("caption_key"), F.col("content").alias("caption"))
     out, _ = embed.caption_and_embed(d, stored, lambda: (lambda texts: texts))
     return out.where(F.size("vector") == embed.DIMS).select("media_id", "caption")
+
+
+# ---- streams: the event file arrives as a stream --------------------------------------
+
+def _event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _scratch(spark):
+    return f"{checkpoint_dir(spark)}/lumaspark/stream-{uuid.uuid4().hex}"
+
+
+# a burst is out once the watermark, an hour behind the last event, has passed its end
+@query("debounced_stream", """WITH n AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
+SELECT user_id, epoch_us(ts) + 1800000000 AS emit_us, event_type AS "value", FALSE AS cleared FROM n
+WHERE (nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 1800000000)
+  AND epoch_us(ts) + 1800000000 <= (SELECT epoch_us(max(ts)) FROM events) // 1000 * 1000 - 3600000000""")
+def debounced_stream(spark, sf):
+    events = _event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    bursts = streams.debounce_stream(events, ["user_id"], "ts", "event_type", "30 minutes", "1 hour")
+    out = _scratch(spark)
+    run = bursts.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema(bursts.schema).parquet(f"{out}/rows")
+    return rows.select("user_id", F.unix_micros("emit_ts").alias("emit_us"), "value", "cleared")
+
+
+@query("streamed_cache", f"""WITH {CATALOGUE_SQL}, {MEDIA_SQL}, k AS (SELECT {CACHE_KEY_SQL} AS cache_key, size FROM media WHERE size % 700 <> 0),
+f AS (SELECT cache_key, list_transform([(size % 7) / 7.0::DOUBLE, (size % 11) / 11.0::DOUBLE, (size % 13) / 13.0::DOUBLE, (size % 17) / 17.0::DOUBLE], lambda x: CAST(x AS FLOAT)) AS f FROM k),
+n AS (SELECT cache_key, f, sqrt(list_sum(list_transform(f, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM f)
+SELECT cache_key, round(CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END, 5) AS v1 FROM n""")
+def streamed_cache(spark, sf):
+    """Files arrive as a stream; the cache holds a vector for each that the model could read."""
+    out = _scratch(spark)
+    store = cache.StoredCache(spark, f"{out}/cache")
+    files = catalogue_from_tree(as_catalogue(_event_stream(spark, sf)))
+    streams.stream_embed(files, store, "", _size_model, f"{out}/state").awaitTermination()
+    return store.read("").select("cache_key", F.round(F.get("vector", 0).cast("double"), 5).alias("v1"))

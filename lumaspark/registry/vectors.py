@@ -200,6 +200,15 @@ def knn_euclidean(spark, sf):
     return knn.knn_graph(vectors(spark, sf), 5, metric="euclidean")
 
 
+@query("cell_index_exact", SQL["search_many_top"])
+def cell_index_exact(spark, sf):
+    """The cell index asked for every cell gives what the exact search gives."""
+    v = vectors(spark, sf)
+    q = v.groupBy("label").agg(F.min_by("vector", "media_id").alias("vector"))
+    index = search.CellIndex(v, centres=16, seed=1)
+    return index.search_many(q.select(F.col("label").cast("bigint").alias("query_id"), "vector"), 10, probes=16)
+
+
 @query("cell_index_search")
 def cell_index_search(spark, sf):
     v = vectors(spark, sf)
@@ -291,7 +300,7 @@ def cache_sizes(spark, sf):
 def _size_model(files):
     """Deterministic stand-in model: a vector from size and id; some files cannot be read."""
     v = F.array(*(((F.col("size") % m) / m).cast("float") for m in (7.0, 11.0, 13.0, 17.0)))
-    ok = F.col("size") % 10 != 0
+    ok = F.col("size") % 700 != 0
     zero = F.array_repeat(F.lit(0.0).cast("float"), 4)
     return files.select("media_id", F.when(ok, V.l2_normalize(v)).otherwise(zero).alias("vector"), ok.alias("ok"))
 
@@ -302,8 +311,8 @@ inferred AS (SELECT *, sqrt(list_sum(list_transform(f, lambda x: CAST(x AS DOUBL
 
 
 @query("embedding_with_cache", f"""WITH {_BOTH_SQL}, {_MODEL_SQL} SELECT media_id, coalesce(nv, ov) IS NOT NULL AS from_cache,
-  coalesce(nv, ov) IS NOT NULL OR size % 10 <> 0 AS ok,
-  round(CASE WHEN coalesce(nv, ov) IS NOT NULL THEN CAST(coalesce(nv, ov)[1] AS DOUBLE) WHEN size % 10 = 0 THEN 0
+  coalesce(nv, ov) IS NOT NULL OR size % 700 <> 0 AS ok,
+  round(CASE WHEN coalesce(nv, ov) IS NOT NULL THEN CAST(coalesce(nv, ov)[1] AS DOUBLE) WHEN size % 700 = 0 THEN 0
     ELSE CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END END, 5) AS v1 FROM inferred""")
 def embedding_with_cache(spark, sf):
     got, _ = C.embed_with_cache(catalogue(spark, sf), _cache(spark, sf), "", _size_model)
@@ -311,7 +320,7 @@ def embedding_with_cache(spark, sf):
 
 
 @query("embedding_writes", f"""WITH {_BOTH_SQL} SELECT new_key AS cache_key FROM found
-  WHERE (nv IS NULL AND ov IS NOT NULL) OR (nv IS NULL AND ov IS NULL AND size % 10 <> 0)""")
+  WHERE (nv IS NULL AND ov IS NOT NULL) OR (nv IS NULL AND ov IS NULL AND size % 700 <> 0)""")
 def embedding_writes(spark, sf):
     _, writes = C.embed_with_cache(catalogue(spark, sf), _cache(spark, sf), "", _size_model)
     return writes.select("cache_key")
