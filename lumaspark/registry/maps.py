@@ -156,7 +156,7 @@ def _geodesic_sql() -> str:
              "h0 AS (SELECT 0::BIGINT AS id, 0::DOUBLE AS d)"]
     for i in range(_HOPS):
         parts.append(f"h{i + 1} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM h{i} UNION ALL SELECT src, d + dist FROM h{i} JOIN e ON e.dst = h{i}.id) GROUP BY id)")
-    return f"WITH {', '.join(parts)} SELECT id AS media_id, round(d, 5) AS dist FROM h{_HOPS}"
+    return f"WITH {', '.join(parts)} SELECT id AS media_id, round(d, 6) AS dist FROM h{_HOPS}"
 
 
 @query("geodesic_distances", _geodesic_sql())
@@ -164,7 +164,7 @@ def geodesic_distances(spark, sf):
     v = vectors(spark, sf)
     edges = materialize(graph.both_ways(knn_graph(v, 5, metric="euclidean")))
     state = graph.geodesics(v.select("media_id"), edges, [0])
-    return state.where(F.col("d0").isNotNull()).select("media_id", F.round("d0", 5).alias("dist"))
+    return state.where(F.col("d0").isNotNull()).select("media_id", F.round("d0", 6).alias("dist"))
 
 
 @query("reconstruction_weight_sums", "SELECT vec_id AS media_id, 1.0::DOUBLE AS total, 10::BIGINT AS n FROM embeddings")
@@ -287,13 +287,13 @@ def _scratch(spark):
 
 
 # a burst is out once the watermark, an hour behind the last event, has passed its end
-@query("debounced_stream", """WITH n AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
+@query("debounced_stream", """WITH n AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
 SELECT user_id, epoch_us(ts) + 1800000000 AS emit_us, event_type AS "value", FALSE AS cleared FROM n
 WHERE (nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 1800000000)
   AND epoch_us(ts) + 1800000000 <= (SELECT epoch_us(max(ts)) FROM events) // 1000 * 1000 - 3600000000""")
 def debounced_stream(spark, sf):
-    events = _event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    bursts = streams.debounce_stream(events, ["user_id"], "ts", "event_type", "30 minutes", "1 hour")
+    events = _event_stream(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    bursts = streams.debounce_stream(events, ["user_id"], "ts", "event_type", "30 minutes", "1 hour", tie="event_id")
     out = _scratch(spark)
     run = bursts.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option(
         "checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -305,7 +305,7 @@ def debounced_stream(spark, sf):
 @query("streamed_cache", f"""WITH {CATALOGUE_SQL}, {MEDIA_SQL}, k AS (SELECT {CACHE_KEY_SQL} AS cache_key, size FROM media WHERE size % 700 <> 0),
 f AS (SELECT cache_key, list_transform([(size % 7) / 7.0::DOUBLE, (size % 11) / 11.0::DOUBLE, (size % 13) / 13.0::DOUBLE, (size % 17) / 17.0::DOUBLE], lambda x: CAST(x AS FLOAT)) AS f FROM k),
 n AS (SELECT cache_key, f, sqrt(list_sum(list_transform(f, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM f)
-SELECT cache_key, round(CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END, 5) AS v1 FROM n""")
+SELECT cache_key, round(CAST(CAST(CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT) AS DOUBLE), 5) AS v1 FROM n""")
 def streamed_cache(spark, sf):
     """Files arrive as a stream; the cache holds a vector for each that the model could read."""
     out = _scratch(spark)

@@ -313,7 +313,7 @@ inferred AS (SELECT *, sqrt(list_sum(list_transform(f, lambda x: CAST(x AS DOUBL
 @query("embedding_with_cache", f"""WITH {_BOTH_SQL}, {_MODEL_SQL} SELECT media_id, coalesce(nv, ov) IS NOT NULL AS from_cache,
   coalesce(nv, ov) IS NOT NULL OR size % 700 <> 0 AS ok,
   round(CASE WHEN coalesce(nv, ov) IS NOT NULL THEN CAST(coalesce(nv, ov)[1] AS DOUBLE) WHEN size % 700 = 0 THEN 0
-    ELSE CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END END, 5) AS v1 FROM inferred""")
+    ELSE CAST(CAST(CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT) AS DOUBLE) END, 5) AS v1 FROM inferred""")
 def embedding_with_cache(spark, sf):
     got, _ = C.embed_with_cache(catalogue(spark, sf), _cache(spark, sf), "", _size_model)
     return got.select("media_id", "from_cache", "ok", F.round(F.get("vector", 0).cast("double"), 5).alias("v1"))

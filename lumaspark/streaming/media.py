@@ -82,11 +82,13 @@ class ProgressiveMap:
 
 
 def debounce_stream(events: DataFrame, keys: list[str], ts: str, value: str, gap: str = "300 milliseconds",
-                    watermark: str = "10 seconds") -> DataFrame:
+                    watermark: str = "10 seconds", tie: str | None = None) -> DataFrame:
     """The last value of each burst of input: a burst ends after ``gap`` without events.
-    A blank last value clears. Events later than the watermark are dropped."""
+    A blank last value clears; ``tie`` orders events of one instant. Events later than
+    the watermark are dropped."""
+    order = F.struct(ts, tie) if tie else F.col(ts)
     bursts = events.withWatermark(ts, watermark).groupBy(*keys, F.session_window(F.col(ts), gap).alias("burst"))
-    out = bursts.agg(F.max_by(value, ts).alias("value"), F.max(ts).alias("last_ts"))
+    out = bursts.agg(F.max_by(F.col(value), order).alias("value"), F.max(ts).alias("last_ts"))
     return out.select(*keys, "last_ts", F.col("burst.end").alias("emit_ts"), "value", _cleared(F.col("value")).alias("cleared"))
 
 
