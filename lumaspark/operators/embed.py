@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from lumaspark.functions.keys import caption_key
 from lumaspark.functions.text import prefix_text
-from lumaspark.session import materialize, widen
+from lumaspark.session import materialize
 
 DIMS = 768
 _WORD = re.compile(r"[a-z0-9]+")
@@ -69,7 +69,7 @@ def embed_text(df: DataFrame, task: str = "query", text: str = "text", make_pred
 
     model = predict_batch_udf(_at_unit_length(make_predict_fn or hashed_words()),
                               return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return widen(df).withColumn("vector", model(prefix_text(text, task)))
+    return df.withColumn("vector", model(prefix_text(text, task)))
 
 
 def embed_one(text: str, make_predict_fn=None) -> list[float]:
@@ -145,7 +145,7 @@ def caption_and_embed(files: DataFrame, captions: DataFrame, caption_fn: Callabl
 
     distinct = missing.groupBy("caption_key").agg(F.first(content).alias(content))
     # both results read the new captions; the model must run once
-    fresh = materialize(widen(distinct).mapInPandas(describe, f"caption_key {fields['caption_key']}, caption string"))
+    fresh = materialize(distinct.mapInPandas(describe, f"caption_key {fields['caption_key']}, caption string"))
     filled = found.drop("caption").join(
         found.select("caption_key", "caption").where(F.col("caption").isNotNull()).distinct().unionByName(fresh),
         "caption_key", "left",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaspark.session import materialize, shuffle_width
+from lumaspark.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -23,7 +23,8 @@ def slices(df: DataFrame, *keys: Column | str) -> DataFrame:
     also when an executor is lost.
     """
     sort_keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *sort_keys).sortWithinPartitions(*sort_keys)
+    # no fixed width: the session's shuffle width, from which AQE merges small neighbours
+    ranged = df.repartitionByRange(*sort_keys).sortWithinPartitions(*sort_keys)
     tagged = ranged.withColumn("_tag", F.monotonically_increasing_id())
     return materialize(
         tagged.select(

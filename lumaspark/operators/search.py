@@ -212,6 +212,7 @@ class CellIndex:
         train = self.corpus.select(array_to_vector(as_doubles("vector")).alias("features"))
         fitted = KMeans(k=max(2, min(wanted, self.MAX_CENTRES)), seed=seed, maxIter=10, distanceMeasure="cosine").fit(train)
         self.centres = unit(np.array(fitted.clusterCenters()))
+        self.celled = materialize(self._with_cells(self.corpus, 1))
 
     def _with_cells(self, df: DataFrame, probes: int) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(self.centres)
@@ -229,8 +230,8 @@ class CellIndex:
         """Top k per query among the ``probes`` nearest cells; all cells gives the exact answer."""
         queries = queries.select(query_key, "vector")
         schema = f"{query_key} bigint, {self.key} bigint, score double"
-        found = _search_blocks(self._with_cells(queries, probes), self._with_cells(self.corpus, 1), k,
-                               query_key, self.key, schema, block_rows)
+        asked = materialize(self._with_cells(queries, probes))
+        found = _search_blocks(asked, self.celled, k, query_key, self.key, schema, block_rows)
         return _best_k(found, k, query_key, self.key)
 
 

@@ -11,6 +11,7 @@ from lumaspark.registry.catalog import _VARIANT_SQL
 from lumaspark.registry.data import (
     CACHE_KEY_SQL, CATALOGUE_SQL, PATH_KEY_SQL, catalogue, table, vectors,
 )
+from lumaspark.session import widen
 from lumaspark.sources import cache as C
 
 QUERIES: dict = {}
@@ -180,7 +181,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, me
 SELECT query_id, media_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank < 5""")
 def text_search_documents(spark, sf):
     q = search.non_blank(table(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), "text")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "text")
+    d = widen(table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "text"))
     hits = search.search_many(embed.embed_text(q, "query"), embed.embed_text(d, "document"), 5)
     return hits
 

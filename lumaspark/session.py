@@ -53,7 +53,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spreads rows before costly Python work, only when the input has fewer parts than
-    the session's shuffles: one small file with long texts, say. Large inputs stay put."""
+    """Spreads the rows of a file scan before costly Python work when the scan has fewer
+    parts than the session's shuffles: one small file with long texts, say. Scans of many
+    files stay as they are. For scans only, since it asks the plan for its partitions."""
     width = shuffle_width(df.sparkSession)
     return df.repartition(width) if df.rdd.getNumPartitions() < width else df

@@ -10,4 +10,6 @@ from lumaspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", shuffle_partitions=4, app="tests")
+    spark = local_session("8", shuffle_partitions=4, app="tests")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep several slices on small data
+    return spark
