@@ -5,18 +5,15 @@ the rest, longest first. Pieces of one length share a bucket and every piece is
 its own, so no sequence crosses documents and none needs padding: all lengths are powers of
 two. One pass over the texts, no shuffle.
 
-Ids come from a tokenizer file. A text is cut at its spaces and the ids of a piece are looked
-up, since no token of a byte-level BPE with this kind of pattern spans a space that is
-followed by a visible character; pieces not seen yet go to the tokenizer, and texts where a
-space is followed by white space, or that hold a special token, go to it whole.
+Ids are those of a tokenizer file; see TokenIds.
 
 Null texts are empty: one piece with the end id. Repeated ids are packed like any other.
 """
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,51 +25,49 @@ from lumaspark.llm.tables import small_batches, text_of
 
 MAX_TOKENS = 2048
 END_ID = 1
-CACHE_PIECES = 500_000  # looked-up pieces a task holds at most; a memory bound, ids do not depend on it
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                      ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 SPARK_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
-_SPACE_RUN = re.compile(r" \s")
 
 
-def default_tokenizer() -> str:
+def default_tokenizer() -> tuple[str, str]:
+    """The tokenizer file, and its vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class TokenIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with the ids of known pieces kept."""
+    """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, limit: int = CACHE_PIECES):
+    The tokenizer file defines them. A byte-level BPE's merges are its vocabulary in rank order, so the same ids
+    come several times faster from the vocabulary as ranks; texts that hold a special token go to the tokenizer.
+    """
+
+    def __init__(self, path: str, ranks_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if _SPACE_RUN.search(text) or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        pieces = [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._encode(new), strict=True))
-        return b"".join(map(known.__getitem__, pieces))
+        if any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_ordinary(text)
+        return np.asarray(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def _ids(path: str) -> TokenIds:
-    return TokenIds(path)
+def _ids(path: str, ranks_path: str) -> TokenIds:
+    return TokenIds(path, ranks_path)
 
 
 def binary_lengths(n: int, top: int = MAX_TOKENS) -> list[int]:
@@ -81,11 +76,11 @@ def binary_lengths(n: int, top: int = MAX_TOKENS) -> list[int]:
     return [top] * (n // top) + [1 << b for b in range(top.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def _pack(path: str, top: int, end: int):
+def _pack(paths: tuple[str, str], top: int, end: int):
     tail = np.asarray([end], dtype="<u4").tobytes()
 
     def run(batches):
-        ids, serial = _ids(path), TaskContext.get().partitionId() << 33
+        ids, serial = _ids(*paths), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -100,11 +95,11 @@ def _pack(path: str, top: int, end: int):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None,
                    max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket (its
     length is 2 to this), sequence_id and offset in that sequence. `max_tokens` is a power of two; the tokenizer
-    file must be at the same path on every executor. Write the rows with partitionBy("bucket") to store buckets."""
+    files must be at the same paths on every executor. Write the rows with partitionBy("bucket") to store buckets."""
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     small_batches(docs.sparkSession)
