@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import packing, patricia, secret_scan
+from lumaspark.llm import packing, patricia, secret_scan, warc
+from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,27 @@ def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+@query
+def op4_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and lengths of responses come from the payloads read back, those of revisits from their headers."""
+    records = warc.archive_pages(table(spark, sf_dir, "pages"), Steps(spark, "archive").path("pages"),
+                                 schema="record_id string, record_type string, payload_digest string, refers_to string, payload_length long, payload binary")
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.regexp_extract("payload_digest", "^sha1:(.*)$", 1))
+    return records.select(
+        warc.page_number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"),
+        "record_type", warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
+SQL["op4_warc_source"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM o"""
+
+
 @query
 def op9_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.duplicate_owners(table(spark, sf_dir, "documents"), keep="max")
