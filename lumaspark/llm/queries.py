@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import packing, patricia, secret_scan, warc
+from lumaspark.llm import packing, patricia, secret_scan, simhash, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -64,6 +64,12 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
 FROM o"""
 
 
+@query
+def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"), width=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op9_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.duplicate_owners(table(spark, sf_dir, "documents"), keep="max")
