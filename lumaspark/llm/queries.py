@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import packing, patricia, secret_scan, simhash, warc
+from lumaspark.llm import packing, patricia, secret_scan, simhash, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -70,6 +70,11 @@ def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 @query
 def op9_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.duplicate_owners(table(spark, sf_dir, "documents"), keep="max")

@@ -32,6 +32,10 @@ class Steps:
         out._llm_step = self  # keeps the id of the frame from being used again
         return out
 
+    def read(self, df: DataFrame) -> DataFrame:
+        """The same table as another frame, for a second use in one plan."""
+        return self.spark.read.schema(df.schema).parquet(self._paths[id(df)])
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             delete_path(self.spark, self._paths.pop(id(df)))
