@@ -20,9 +20,11 @@ class Steps:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/lumaspark-llm/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        self._serial = 0
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{len(self._paths)}"
+        self._serial += 1
+        return f"{self.root}/{name}-{self._serial}"
 
     def write(self, df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = self.path(name)
