@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import packing, patricia, secret_scan, simhash, vptree, warc
+from lumaspark.llm import packing, patricia, raking, secret_scan, simhash, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -75,6 +75,15 @@ def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
 
+@query
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = raking.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 9))
+
+
+SQL["op8_raked_mixture"] = raking.oracle()
+
+
 @query
 def op9_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patricia.duplicate_owners(table(spark, sf_dir, "documents"), keep="max")
