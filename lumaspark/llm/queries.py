@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import packing, patricia, raking, secret_scan, simhash, vptree, warc
+from lumaspark.llm import cotrain, packing, patricia, raking, secret_scan, simhash, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+@query
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and lengths of responses come from the payloads read back, those of revisits from their headers."""
