@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import cotrain, packing, patricia, raking, secret_scan, simhash, vptree, warc
+from lumaspark.llm import cotrain, html_crf, packing, patricia, raking, secret_scan, simhash, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -69,6 +69,11 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
 FROM o"""
 
 
+@query
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(table(spark, sf_dir, "documents"), width=4, distance=4)
