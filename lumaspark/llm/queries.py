@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import cotrain, html_crf, packing, patricia, raking, secret_scan, simhash, vptree, warc
+from lumaspark.llm import cotrain, debruijn, html_crf, packing, patricia, raking, secret_scan, simhash, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -103,3 +103,8 @@ SQL["op9_patricia_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query
+def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"), k=13).drop("kept_text")

@@ -53,8 +53,9 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts go to Python workers few rows at a time, so that a batch stays small."""
+def small_batches(spark: SparkSession, size: str = "4m", rows: int = 10_000) -> None:
+    """Batches for Python workers are cut by bytes, so that very long texts do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
