@@ -58,7 +58,7 @@ ALLOWED = (
     r"^[0-9]+$",  # numbers
     r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefghij",
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",  # UUIDs
-    r"^(/?[A-Za-z_-]+){2,}/?[A-Za-z_-]*[0-9]{0,8}$",  # paths of words
+    r"^[A-Za-z/_-]+[0-9]{0,8}$",  # paths of words
 )
 CHUNK = 512
 _SPAN = "array<struct<start:int,end:int,value:string>>"
