@@ -27,12 +27,15 @@ def _bounds(year, month, day, hour, minute):
     if any(p is not None for p in parts[depth:]):
         return None
     lo = datetime(year, month or 1, day or 1, hour or 0, minute or 0)
-    if depth == 0:
-        hi = datetime(year + 1, 1, 1)
-    elif depth == 1:
-        hi = datetime(year + month // 12, month % 12 + 1, 1)
-    else:
-        hi = lo + {2: timedelta(days=1), 3: timedelta(hours=1), 4: timedelta(minutes=1)}[depth]
+    try:
+        if depth == 0:
+            hi = datetime(year + 1, 1, 1)
+        elif depth == 1:
+            hi = datetime(year + month // 12, month % 12 + 1, 1)
+        else:
+            hi = lo + {2: timedelta(days=1), 3: timedelta(hours=1), 4: timedelta(minutes=1)}[depth]
+    except (ValueError, OverflowError):  # the last instants of year 9999
+        hi = None
     return lo, hi
 
 
@@ -52,8 +55,8 @@ def filter_datetime(
         return df.where(F.lit(False))
     if bounds:
         dtype = df.schema[ts].dataType
-        lo, hi = (F.lit(b.strftime("%Y-%m-%d %H:%M:%S")).cast(dtype) for b in bounds)
-        return df.where((c >= lo) & (c < hi))
+        lo, hi = (b and F.lit(b.isoformat(sep=" ")).cast(dtype) for b in bounds)
+        return df.where((c >= lo) if hi is None else (c >= lo) & (c < hi))
     tests = [F.year(c) == year]
     for want, part in ((month, F.month), (day, F.day), (hour, F.hour), (minute, F.minute)):
         if want is not None:

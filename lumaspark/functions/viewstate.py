@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumaspark.functions.paths import _col
 
 # Fixed value: the accepted date and time fragment.
-_DT_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}))?(?::(\d{2}))?$"
+_DT_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}))?(?::(\d{2}))?\z"
 
 _TYPE = "struct<type:string,path:string,granularity:string,year:int,month:int,day:int,hour:int,minute:int>"
 
@@ -21,7 +21,7 @@ def parse_view_state(c) -> Column:
     c = _col(c)
     dt = F.when(c.startswith("#dt:"), F.substring(c, 5, 64))
     ok = dt.rlike(_DT_PATTERN)
-    # the pattern fixes every place, so one match is enough and the parts are substrings
+    # \\z: a newline after the fragment makes it malformed. The pattern fixes every place, so one match is enough and the parts are substrings
     has_hour = F.substring(dt, 11, 1) == "T"
     has_minute = F.when(has_hour, F.length(dt) == 16).otherwise(F.length(dt) == 13)
 

@@ -84,31 +84,32 @@ Infer = Callable[[list], Iterable]
 
 def embed_media(df: DataFrame, model_fn: Callable[[], Infer], batch_size: int = 1, content: str = "content",
                 key: str = "media_id", dims: int = DIMS) -> DataFrame:
-    """Vectors of media bytes: (key, vector, ok).
+    """Vectors of media bytes: (key, vector, ok, error).
 
     ``model_fn`` is called once per task and returns a function from a list of inputs to
     a list of vectors. A batch that raises, and an input the model answers with None,
-    give zero vectors with ok = false, which must not reach the cache.
+    give zero vectors with ok = false, which must not reach the cache, and say why in ``error``.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = f"{key} {fields[key]}, vector array<float>, ok boolean"
+    schema = f"{key} {fields[key]}, vector array<float>, ok boolean, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infer = model_fn()
         for pdf in batches:
-            ids, data, vecs, oks = list(pdf[key]), list(pdf[content]), [], []
+            ids, data, vecs, oks, errors = list(pdf[key]), list(pdf[content]), [], [], []
             for at in range(0, len(ids), batch_size):
-                part = data[at:at + batch_size]
+                part, why = data[at:at + batch_size], "no vector for this input"
                 try:
                     got = list(infer(part))
                     if len(got) != len(part):
                         raise ValueError("model returned a different number of vectors")
-                except Exception:  # noqa: BLE001 - any model failure marks its batch
-                    got = [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - any model failure marks its batch
+                    got, why = [None] * len(part), f"{type(e).__name__}: {e}"
                 for v in got:
                     oks.append(v is not None)
+                    errors.append(why if v is None else None)
                     vecs.append(np.zeros(dims, np.float32) if v is None else _unit(v))
-            yield pd.DataFrame({key: ids, "vector": vecs, "ok": oks})
+            yield pd.DataFrame({key: ids, "vector": vecs, "ok": oks, "error": errors})
 
     return df.select(key, content).mapInPandas(run, schema)
 

@@ -45,7 +45,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/lumaspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote and that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if getattr(df, "_written_at", None) is None:
+            continue
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def next_round(before: DataFrame, df: DataFrame) -> DataFrame:
+    """Writes a round of an iteration and deletes the round it came from."""
+    out = materialize(df)
+    release(before)
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lumaspark.functions.paths import MEDIA_EXTS, is_hidden, is_media
 from lumaspark.operators.layout import grid_layout
 from lumaspark.operators.ordering import ordered_neighbours
 from lumaspark.operators.project import project
-from lumaspark.operators.spread import spread
+from lumaspark.operators.spread import MAX_ROUNDS, spread
 from lumaspark.session import materialize
 from lumaspark.sources.cache import StoredCache, embed_with_cache
 from lumaspark.sources.media import _below
@@ -33,10 +34,11 @@ def stream_media(spark: SparkSession, root: str, exts=MEDIA_EXTS, with_content:
 
 
 def embed_batch(cache: StoredCache, model: str, infer: Callable[[DataFrame], DataFrame],
-                then: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: vectors for the batch, new ones stored under the batch number.
+                then: Callable[[DataFrame, int], None] | None = None, writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step: vectors for the batch, new ones stored under the writer and batch number.
 
-    A batch that runs twice writes the same folder again, so the result is the same.
+    A batch that runs twice writes the same folder again, so the result is the same. Each stream
+    needs a writer of its own; ``stream_embed`` takes one that its checkpoint keeps.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -44,18 +46,33 @@ def embed_batch(cache: StoredCache, model: str, infer: Callable[[DataFrame], Dat
         got, writes = embed_with_cache(batch, cache.read(model), model, infer)
         writes = materialize(writes)  # read before the batch's own folder appears
         done = materialize(got.select("media_id", "name", "vector", "from_cache", "ok")) if then else None
-        cache.put(writes, batch_id)
+        cache.put(writes, batch_id, writer)
         if then:
             then(done, batch_id)
 
     return step
 
 
+def checkpoint_writer(spark: SparkSession, checkpoint: str) -> str:
+    """The name under which a checkpoint's stream writes, made once and kept in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/cache-writer")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, False)
+        out.writeUTF(uuid.uuid4().hex)
+        out.close()
+    source = fs.open(path)
+    name = source.readUTF()
+    source.close()
+    return f"stream-{name}"
+
+
 def stream_embed(stream: DataFrame, cache: StoredCache, model: str, infer: Callable[[DataFrame], DataFrame],
                  checkpoint: str, then=None, trigger: dict | None = None):
     """Starts a query that keeps the cache filled for a stream of files."""
+    writer = checkpoint_writer(cache.spark, checkpoint)
     return (
-        stream.writeStream.foreachBatch(embed_batch(cache, model, infer, then))
+        stream.writeStream.foreachBatch(embed_batch(cache, model, infer, then, writer))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
@@ -65,7 +82,7 @@ class ProgressiveMap:
     linear projection once ``interval`` new vectors came in. Use as ``then`` of
     ``stream_embed``; ``points`` holds the last map."""
 
-    def __init__(self, path: str, minimum: int = 3, interval: int = 3, total: int | None = None, max_rounds: int = 20):
+    def __init__(self, path: str, minimum: int = 3, interval: int = 3, total: int | None = None, max_rounds: int = MAX_ROUNDS):
         self.path, self.minimum, self.interval = path.rstrip("/"), minimum, interval
         self.total, self.max_rounds = total, max_rounds
         self.last_count, self.refreshes, self.points = 0, 0, None

@@ -149,3 +149,27 @@ def test_prefixes(spark):
     df = spark.createDataFrame([("ball",), ("",)], "t string")
     assert [r[0] for r in df.select(text.prefix_text("t", "query")).collect()] == ["search_query: ball", "search_query: "]
     assert [r[0] for r in df.select(text.is_blank("t")).collect()] == [False, True]
+
+
+def test_long_vectors_take_linear_time(spark):
+    import time
+
+    df = spark.range(2000).select("id", F.transform(F.sequence(F.lit(1), F.lit(768)), lambda i: (i + F.col("id") % 7).cast("float")).alias("v"))
+    df = spark.createDataFrame(df.toArrow())
+    vectors_of = df.select(vectors.l2_normalize("v").alias("u"))
+    vectors_of.limit(10).collect()
+    t = time.perf_counter()
+    total = vectors_of.agg(F.sum(vectors.dot("u", "u"))).first()[0]
+    assert abs(total - 2000) < 1e-2 and time.perf_counter() - t < 15  # the quadratic form took more than a minute
+
+
+def test_edges_of_time_filters(spark):
+    df = spark.createDataFrame([("0999-06-01 00:00:00",), ("9999-12-31 23:59:59",), ("2024-01-01 00:00:00",)], "t string").select(
+        F.col("t").cast("timestamp_ntz").alias("last_modified"))
+    assert timeparts.filter_datetime(df, 999).count() == 1 and timeparts.filter_datetime(df, 9999).count() == 1
+    assert timeparts.filter_datetime(df, 9999, 12, 31).count() == 1 and timeparts.filter_datetime(df, 2024, 13).count() == 0
+
+
+def test_fragment_with_a_newline_is_malformed(spark):
+    df = spark.createDataFrame([("#dt:2025-01-15T14:30\n",), ("#dt:2025-01-15T14:30",)], "f string").select(viewstate.parse_view_state("f").alias("s"))
+    assert [r["s"] and r["s"]["granularity"] for r in df.collect()] == [None, "minute"]
