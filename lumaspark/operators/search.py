@@ -95,8 +95,18 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, np.nan, n)
 
 
+TILE_CELLS = 4 << 20  # scores a task holds at once
+
+
 def top_of_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
-    """Best k of a block for each query, ties to the lower id: (query row, id, score)."""
+    """Best k of a block for each query, ties to the lower id: (query row, id, score). Queries go
+    in tiles, so that the table of scores stays small."""
+    step = max(1, TILE_CELLS // max(1, len(c)))
+    tiles = [(at, _top_of_tile(q[at:at + step], c, ids, k)) for at in range(0, max(1, len(q)), step)]
+    return np.concatenate([rows + at for at, (rows, _, _) in tiles]), *(np.concatenate([t[i] for _, t in tiles]) for i in (1, 2))
+
+
+def _top_of_tile(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
     s = np.round(q @ c.T, SCORE_DECIMALS)
     s = np.where(np.isnan(s), -np.inf, s)
     k = min(k, s.shape[1])

@@ -157,7 +157,7 @@ def spread_one_round(spark, sf):
 
 @query("spread_layout")
 def spread_layout(spark, sf):
-    return _xy(spread.spread(points(spark, sf), max_rounds=10))
+    return _xy(spread.spread(points(spark, sf)))
 
 
 # ---- navigation -----------------------------------------------------------------------

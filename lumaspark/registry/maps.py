@@ -125,8 +125,8 @@ def _projected(method, **options):
 
 query("projection_pca")(_projected("PCA"))
 query("projection_mds")(_projected("MDS"))
-query("projection_sammon")(_projected("SAMMON", steps=30, landmarks=128))
-query("projection_isomap")(_projected("ISOMAP", landmarks=16))
+query("projection_sammon")(_projected("SAMMON"))
+query("projection_isomap")(_projected("ISOMAP"))
 query("projection_lle")(_projected("LLE"))
 query("projection_tsne")(_projected("TSNE", epochs=4))
 query("projection_umap")(_projected("UMAP", epochs=4))

@@ -124,17 +124,16 @@ def search_top(spark, sf):
     return search.search(vectors(spark, sf), query_vector(spark, sf), k=10).select("media_id", "score")
 
 
-@query("search_angular", f"WITH {SCORED} SELECT media_id, round(acos(greatest(-1, least(1, d / n))), 5) AS distance FROM dots WHERE media_id <> 0")
+@query("search_angular", f"WITH {SCORED} SELECT media_id, round(acos(greatest(-1, least(1, d / n))), 5) AS distance FROM dots")
 def search_angular(spark, sf):
     r = search.search(vectors(spark, sf), query_vector(spark, sf), angular=True)
-    return r.where(F.col("media_id") != 0).select("media_id", F.round("distance", 5).alias("distance"))
+    return r.select("media_id", F.round("distance", 5).alias("distance"))
 
 
 @query("search_status", f"""WITH {SCORED} SELECT count(*) AS n_files, max(score) AS top_score,
-  CAST(round(max(score) * 100) AS INTEGER) AS top_percent FROM scored WHERE media_id <> 0""")
+  CAST(round(max(score) * 100) AS INTEGER) AS top_percent FROM scored""")
 def search_status(spark, sf):
-    others = vectors(spark, sf).where(F.col("media_id") != 0)
-    return search.search_summary(search.score_against(others, query_vector(spark, sf)))
+    return search.search_summary(search.score_against(vectors(spark, sf), query_vector(spark, sf)))
 
 
 @query("search_emphasis", f"""WITH {SCORED}, hits AS (SELECT media_id, rank FROM ranked WHERE rank < 150),
@@ -244,12 +243,17 @@ def _cache(spark, sf):
     )
 
 
-def _v1(c="vector"):
-    return F.round(F.get(c, 0).cast("double"), 6)
+def _v1(c="vector", digits=4):
+    """A digest of all components: the sum of each times its place."""
+    return F.round(F.aggregate(F.transform(c, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), digits)
+
+
+def _V1_SQL(c, digits=4):
+    return f"round(list_sum(list_transform({c}, lambda x, i: CAST(x AS DOUBLE) * i)), {digits})"
 
 
 @query("cache_reads", f"""WITH {_CACHED_SQL}, r AS (SELECT media_id, '' AS model, {CACHE_KEY_SQL} AS cache_key FROM cat)
-SELECT media_id, vector IS NOT NULL AS hit, round(CAST(vector[1] AS DOUBLE), 6) AS v1 FROM r LEFT JOIN cache USING (model, cache_key)""")
+SELECT media_id, vector IS NOT NULL AS hit, {_V1_SQL("vector")} AS v1 FROM r LEFT JOIN cache USING (model, cache_key)""")
 def cache_reads(spark, sf):
     asks = catalogue(spark, sf).select("media_id", F.lit("").alias("model"), keys.cache_key().alias("cache_key"))
     got = C.cache_lookup(asks, _cache(spark, sf))
@@ -261,13 +265,13 @@ own AS (SELECT cache_key, vector FROM cache WHERE model = ''),
 found AS (SELECT k.*, n.vector AS nv, o.vector AS ov FROM keyed k LEFT JOIN own n ON n.cache_key = k.new_key LEFT JOIN own o ON o.cache_key = k.old_key)"""
 
 
-@query("cache_reads_legacy", f"WITH {_BOTH_SQL} SELECT media_id, coalesce(nv, ov) IS NOT NULL AS from_cache, round(CAST(coalesce(nv, ov)[1] AS DOUBLE), 6) AS v1 FROM found")
+@query("cache_reads_legacy", f"WITH {_BOTH_SQL} SELECT media_id, coalesce(nv, ov) IS NOT NULL AS from_cache, {_V1_SQL('coalesce(nv, ov)')} AS v1 FROM found")
 def cache_reads_legacy(spark, sf):
     hits, _ = C.cache_lookup_with_legacy(catalogue(spark, sf), _cache(spark, sf), "")
     return hits.select("media_id", "from_cache", _v1().alias("v1"))
 
 
-@query("cache_migrations", f"WITH {_BOTH_SQL} SELECT '' AS model, new_key AS cache_key, round(CAST(ov[1] AS DOUBLE), 6) AS v1 FROM found WHERE nv IS NULL AND ov IS NOT NULL")
+@query("cache_migrations", f"WITH {_BOTH_SQL} SELECT '' AS model, new_key AS cache_key, {_V1_SQL('ov')} AS v1 FROM found WHERE nv IS NULL AND ov IS NOT NULL")
 def cache_migrations(spark, sf):
     _, migrate = C.cache_lookup_with_legacy(catalogue(spark, sf), _cache(spark, sf), "")
     return migrate.select("model", "cache_key", _v1().alias("v1"))
@@ -277,7 +281,7 @@ def cache_migrations(spark, sf):
   UNION ALL SELECT '', new_key, list_transform(embedding, lambda x: x + 2), 2 FROM lib WHERE label < 2),
 last AS (SELECT model, cache_key, arg_max(vector, seq) AS vector FROM new GROUP BY 1, 2),
 merged AS (SELECT model, cache_key, vector FROM cache ANTI JOIN last USING (model, cache_key) UNION ALL SELECT * FROM last)
-SELECT model, cache_key, round(CAST(vector[1] AS DOUBLE), 5) AS v1 FROM merged""")
+SELECT model, cache_key, {_V1_SQL("vector", 2)} AS v1 FROM merged""")
 def cache_puts(spark, sf):
     lib = _library(spark, sf)
 
@@ -287,7 +291,7 @@ def cache_puts(spark, sf):
             F.lit("").alias("model"), keys.cache_key().alias("cache_key"), moved.alias("vector"), F.lit(add).alias("seq"))
 
     merged = C.cache_upsert(_cache(spark, sf), rows(8, 1).unionByName(rows(2, 2)), "seq")
-    return merged.select("model", "cache_key", F.round(F.get("vector", 0).cast("double"), 5).alias("v1"))
+    return merged.select("model", "cache_key", _v1(digits=2).alias("v1"))
 
 
 @query("cache_sizes", f"""WITH {_CACHED_SQL} SELECT '' AS prefix, count(*) AS n, CAST(sum(len(vector)) * 8 AS BIGINT) AS bytes FROM cache

@@ -330,3 +330,16 @@ def test_written_rounds_are_dropped(spark):
     few = tables() - before
     spread(pts, max_rounds=6).collect()
     assert tables() - before - few <= few
+
+
+def test_walk_keeps_underscore_names_and_reads_bytes_late(spark, tmp_path):
+    tree(tmp_path / "m", ("a.jpg", "_b.png", "_d/c.mp4", "_d/e/f.jpg", ".h/g.jpg", "x.txt", ".k.jpg"))
+    files = media.walk_media(spark, str(tmp_path / "m"))
+    assert {r["name"] for r in files.collect()} == {"a.jpg", "_b.png", "_d/c.mp4", "_d/e/f.jpg"}
+    assert {r["name"] for r in media.walk_media(spark, str(tmp_path / "m"), "_d").collect()} == {"_d/c.mp4", "_d/e/f.jpg"}
+    scanned = {r["name"]: (r["media_id"], r["size"]) for r in media.scan_media(spark, str(tmp_path / "m")).collect()}
+    walked = {r["name"]: (r["media_id"], r["size"]) for r in files.collect()}
+    assert scanned.items() <= walked.items() and "a.jpg" in scanned
+    gone = spark.createDataFrame([("no.jpg", 0)], "name string, size bigint")
+    got = {r["name"]: r["content"] for r in media.read_content(files.select("name", "size").unionByName(gone), str(tmp_path / "m")).collect()}
+    assert got.pop("no.jpg") is None and all(bytes(v) == (tmp_path / "m" / n).read_bytes() for n, v in got.items())
