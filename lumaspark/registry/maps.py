@@ -127,7 +127,7 @@ query("projection_pca")(_projected("PCA"))
 query("projection_mds")(_projected("MDS"))
 query("projection_sammon")(_projected("SAMMON"))
 query("projection_isomap")(_projected("ISOMAP"))
-query("projection_lle")(_projected("LLE"))
+query("projection_lle")(_projected("LLE", tolerance=0.05))
 query("projection_tsne")(_projected("TSNE", epochs=4))
 query("projection_umap")(_projected("UMAP", epochs=4))
 query("projection_trimap")(_projected("TriMap", epochs=4, inliers=5, outliers=3))

@@ -134,7 +134,7 @@ def clusters(spark):
 
 
 OPTIONS = {"TSNE": {"epochs": 5}, "UMAP": {"epochs": 5}, "TriMap": {"epochs": 4, "inliers": 4, "outliers": 3},
-           "LLE": {"tolerance": 0.02}, "ISOMAP": {"landmarks": 12}, "SAMMON": {"steps": 40}}
+           "LLE": {"tolerance": 0.1}, "ISOMAP": {"landmarks": 12}, "SAMMON": {"steps": 40}}
 
 
 def agreement(y, labels, k=5):
