@@ -4,7 +4,7 @@ A page is read once into leaf blocks: runs of text between block-level tags, wit
 the class, id and role words of all ancestors. Features are those and measures of the text;
 a chain over the blocks in page order says which ones are the article, decoded by Viterbi.
 
-The model is trained on the driver on at most TRAIN_PAGES pages, those whose ids hash lowest,
+The model is trained on the driver on at most TRAIN_PAGES pages of TRAIN_CHARS, those whose ids hash lowest,
 that say themselves where their article is (one article or main element, or an articleBody),
 and on pages composed from labelled fragments, for the kinds of blocks that the first lack.
 In training the ancestors that gave a page its labels are hidden now and then, so that other
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lumaspark.llm.tables import small_batches, text_of
 
 TRAIN_PAGES = 300
+TRAIN_CHARS = 200_000  # longer pages are extracted, but not trained on
 EPOCHS = 12
 
 # Fixed values of the format
@@ -363,8 +364,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
     if model is None:
-        ids = rows.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-        chosen = rows.join(F.broadcast(ids), "page_id").select("page_id", "html").orderBy("page_id", "html").limit(train_pages)
+        ids = rows.filter(F.col("page_id").isNotNull() & (F.length("html") <= TRAIN_CHARS)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
+        chosen = rows.filter(F.length("html") <= TRAIN_CHARS).join(F.broadcast(ids), "page_id").select("page_id", "html").orderBy("page_id", "html").limit(train_pages)
         model = train([r["html"] for r in chosen.collect()])  # at most train_pages pages
 
     def run(batches):

@@ -33,7 +33,7 @@ SHARD_ROWS = 8_192
 MAX_SHARDS = 4096  # leaves of the top tree; beyond, a leaf's vectors are cut into trees of their own
 LEAF_ROWS = 256
 QUERY_BLOCK = 2_048
-FACTOR = 1.15
+FACTOR = 1.5
 SLACK = 8  # entries kept beyond k + 1, since block products round differently from the final scores
 
 
