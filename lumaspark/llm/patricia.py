@@ -180,9 +180,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return dealt.mapInArrow(_owner_rows(keep), "n_bytes long, sha string, keep_id long, group_size long, owner_rows long")
 
 
-def _with_owner(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, list[str]]:
+def _with_owner(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """Rows of docs under positional names, beside their group; extra columns may have any names."""
-    groups = duplicate_groups(docs, id_col, text_col, keep)
     names = [f"c{i}" for i in range(len(docs.columns))]
     body = F.encode(text_of(text_col), "utf-8")
     keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
@@ -194,7 +193,7 @@ def _with_owner(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple
 def duplicate_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Two texts are one when all their
     bytes are (the tries compare them); rows meet their group by length and SHA-256."""
-    rows, _ = _with_owner(docs.select(id_col, text_col), id_col, text_col, keep)
+    rows, _ = _with_owner(docs.select(id_col, text_col), duplicate_groups(docs, id_col, text_col, keep), id_col, text_col)
     alone = F.col("group_size").isNull()
     return rows.select(
         F.col("__id").alias("doc_id"), F.when(alone, F.col("__id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -203,12 +202,51 @@ def duplicate_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs with one row of each text, the owner's; of rows that repeat the owner's id, one."""
-    rows, names = _with_owner(docs, id_col, text_col, keep)
-    own = F.col("__id").eqNullSafe(F.col("keep_id"))
-    single = rows.filter(F.col("group_size").isNull() | (own & (F.col("owner_rows") == 1)))
-    repeated = rows.filter(own & (F.col("owner_rows") > 1)).dropDuplicates(["n_bytes", "sha"])
-    back = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
-    return single.select(*back).unionByName(repeated.select(*back)) if len(set(docs.columns)) == len(docs.columns) \
-        else single.select(*back).union(repeated.select(*back))
+def _kept_rows(keep: str, limit: int | None):
+    """Rows of (h, n_bytes, body, id, rest), one for each text. Without a limit rows come sorted by h and n_bytes."""
+    better = max if keep == "max" else min
+
+    def owner(a, b):
+        if a[0] is None or b[0] is None or a[0] == b[0]:
+            return b if a[0] is None else a
+        return better((a, b), key=lambda x: x[0])
+
+    def run(batches):
+        trie, at, schema = PatriciaTrie(owner), None, None
+
+        def out(items):
+            rows = [(*struct.unpack_from(_HEAD, key), key[_HEAD_SIZE:], *value) for key, value in items]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema, done = batch.schema, []
+            for h, _, body, i, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if limit is None and at != (h, len(body)):
+                    done += trie.pop_all()
+                    at = h, len(body)
+                trie.insert(struct.pack(_HEAD, h, len(body)) + body, (i, rest))
+            while limit is not None and trie.bytes() > limit:
+                done += trie.pop(trie.largest())
+            yield out(done)
+        for first in list(trie.root.children):
+            yield out(trie.pop(first))
+
+    return run
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max",
+                          trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """docs with one row of each text, the owner's; of rows that repeat the owner's id, one. The tries carry the owner's
+    other columns, so the rows that stay leave them as they are and nothing is joined."""
+    small_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, key = (names[docs.columns.index(c)] for c in (text_col, id_col))
+    rows = docs.toDF(*names)
+    kind = rows.schema[text].dataType
+    body = F.encode(text_of(text), "utf-8")
+    rows = rows.select(F.xxhash64(body).alias("h"), F.octet_length(body).cast("bigint").alias("n_bytes"), body.alias("body"), F.col(key).cast("bigint").alias("id"),
+                       F.struct(*(c for c in names if c != text), F.col(text).isNull().alias("no_text")).alias("rest"))
+    local = rows.mapInArrow(_kept_rows(keep, trie_bytes), rows.schema)
+    kept = local.repartition("h", "n_bytes").sortWithinPartitions("h", "n_bytes").mapInArrow(_kept_rows(keep, None), rows.schema)
+    back = F.when(~F.col("rest.no_text"), F.decode("body", "utf-8")).cast(kind)
+    return kept.select(*(back if c == text else F.col(f"rest.{c}") for c in names)).toDF(*docs.columns)
