@@ -114,8 +114,10 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def _probes(i: int, segment: Segment) -> Column:
+    """Keys of the ball that are not below the node's own: of two nodes, the one with the smaller segment finds the other."""
     masks = F.array(*(F.lit(m).cast("bigint") for m in ball(segment.bits, segment.radius)))
-    return F.transform(masks, lambda m: F.struct(F.lit(i).alias("seg"), segment.key().bitwiseXOR(m).alias("key")))
+    keys = F.filter(F.transform(masks, lambda m: segment.key().bitwiseXOR(m)), lambda k: k >= segment.key())
+    return F.transform(keys, lambda k: F.struct(F.lit(i).alias("seg"), k.alias("key")))
 
 
 def _close(left: str, right: str, words: list[str], distance: int) -> Column:
