@@ -7,7 +7,7 @@ from labelled documents; in each round a view's confident opinions on an unlabel
 become labels for the other view. At the end each view's log-odds are calibrated on labelled
 documents that took no part in the fit, by a logistic regression over both, which gives every document's score.
 
-The fit uses at most FIT_ROWS labelled documents and as many of the pool, those whose ids hash
+The fit uses at most FIT_ROWS labelled documents and as many of the pool, of FIT_CHARS at most, those whose ids hash
 lowest, and runs on the driver; scoring is one pass over all documents, whole texts, without a shuffle.
 
 Null texts, sources and languages are empty, null lengths the text's own. Labels without a value or an id are ignored; where
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lumaspark.llm.tables import small_batches, text_of
 
 FIT_ROWS = 8_000
+FIT_CHARS = 200_000  # longer documents are scored, but not fitted on
 ROUNDS = 3
 CONFIDENT = 0.98
 CUT = 0.3
@@ -164,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select(*_inputs(docs, id_col, text_col, source_col, lang_col, chars_col))
-    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    short = rows.filter(F.col("doc_id").isNotNull() & (F.length("text") <= FIT_CHARS))
+    ids = short.select("doc_id").distinct()
     labelled = ids.join(known, "doc_id").orderBy(by_hash, "doc_id").limit(fit_rows)
     pool = ids.join(known, "doc_id", "left_anti").orderBy(by_hash, "doc_id").limit(fit_rows).withColumn("y", F.lit(-1))
     chosen = labelled.unionByName(pool)  # 2 * fit_rows rows at most
@@ -174,17 +176,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             c = batch.to_pydict()
             pairs = [content(t) for t in c["text"]]
             metas = [metadata(*x).tolist() for x in zip(c["text"], c["source"], c["lang"], c["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(c["y"], pa.int32()), pa.array([p[0] for p in pairs], pa.list_(pa.int64())),
-                                              pa.array([p[1] for p in pairs], pa.list_(pa.float64())), pa.array(metas, pa.list_(pa.float64()))],
+            yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(c["y"], pa.int32()), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
+                                              pa.array([p[1] for p in pairs], pa.list_(pa.float32())), pa.array(metas, pa.list_(pa.float64()))],
                                              names=["doc_id", "y", "at", "value", "meta"])
 
-    sample = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(featurise, "doc_id long, y int, at array<long>, value array<double>, meta array<double>")
-    got = sample.toArrow().sort_by("doc_id")
+    sample = short.join(F.broadcast(chosen), "doc_id").mapInArrow(featurise, "doc_id long, y int, at array<int>, value array<float>, meta array<double>")
+    got = sample.toArrow().combine_chunks()
     if not len(got):
         return None
-    contents = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(got["at"], got["value"], strict=True)]
-    metas = np.stack([np.asarray(m.values) for m in got["meta"]])
-    return co_train(contents, metas, np.asarray(got["y"]), rounds)
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    at, value = _lists(got, "at"), _lists(got, "value")
+    contents = [(at[i], value[i]) for i in order]
+    return co_train(contents, np.stack(_lists(got, "meta"))[order], got["y"].to_numpy()[order], rounds)
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    """The lists of a column as views of one array, which frees all its memory at once."""
+    lists = [chunk for chunk in table[name].chunks]
+    return [view for c in lists for view in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])]
 
 
 _SCORES = "content_score double, meta_score double, score double"
