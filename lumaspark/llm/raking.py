@@ -72,25 +72,26 @@ def margin_targets(cells: DataFrame, dim: str, given: dict[str, float] | None, p
 def rake(cells: DataFrame, steps: Steps, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
          keep: float = KEEP, power: float = POWER) -> DataFrame:
     """(source, lang, topic, tokens, weight) from (source, lang, topic, tokens)."""
-    goals = {d: steps.write(margin_targets(cells, d, (targets or {}).get(d), power), d) for d in DIMENSIONS}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = cells.withColumn("weight", F.col("tokens").cast("double") * keep)
-    for n in range(rounds):
+    for d in DIMENSIONS:
+        state = state.join(margin_targets(cells, d, (targets or {}).get(d), power).withColumnRenamed("target", f"goal_{d}"), d)
+    goals = [f"goal_{d}" for d in DIMENSIONS]
+    state = steps.write(state, "weights")
+    for _ in range(rounds):
         before = state
         for dim in DIMENSIONS:
             sums = state.groupBy(dim).agg(F.sum("weight").alias("have"))
-            scale = sums.join(goals[dim], dim).select(dim, (F.col("target") * F.lit(float(total) * keep) / F.nullif("have", F.lit(0.0))).alias("scale"))
-            state = state.join(scale, dim).select(*DIMENSIONS, "tokens", F.least(
-                F.col("tokens").cast("double"), F.col("weight") * F.coalesce("scale", F.lit(0.0))).alias("weight"))
+            scale = F.col(f"goal_{dim}") * F.lit(float(total) * keep) / F.nullif("have", F.lit(0.0))
+            state = state.join(sums, dim).select(*DIMENSIONS, "tokens", F.least(
+                F.col("tokens").cast("double"), F.col("weight") * F.coalesce(scale, F.lit(0.0))).alias("weight"), *goals)
         state = steps.write(state, "weights")
-        if n:
-            steps.drop(before)
-    return state
+        steps.drop(before)
+    return state.drop(*goals)
 
 
-def _mixed(docs, id_col, text_col, source_col, lang_col, topic, targets, rounds, keep, power, seed) -> DataFrame:
-    steps = Steps(docs.sparkSession, "raking")
-    rows = _labelled(docs, id_col, text_col, source_col, lang_col, topic)
+def _mixed(rows, steps, targets, rounds, keep, power, seed) -> DataFrame:
+    """Labelled rows with the probability of their cell, and whether they are kept."""
     cells = steps.write(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = rake(cells, steps, targets, rounds, keep, power)
     p = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(float(keep)))
@@ -105,8 +106,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
                   keep: float = KEEP, power: float = POWER, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, tokens, probability and kept."""
-    mixed = _mixed(docs.select(*dict.fromkeys((id_col, text_col, source_col, lang_col))), id_col, text_col, source_col, lang_col,
-                   topic, targets, rounds, keep, power, seed)
+    steps = Steps(docs.sparkSession, "raking")
+    rows = _labelled(docs, id_col, text_col, source_col, lang_col, topic).select("key", *DIMENSIONS, "tokens")
+    rows = steps.write(rows, "labelled")  # the texts are read once
+    mixed = _mixed(rows, steps, targets, rounds, keep, power, seed)
     return mixed.select(F.col("key").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "kept")
 
 
@@ -114,7 +117,8 @@ def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
                    keep: float = KEEP, power: float = POWER, seed: int = SEED) -> DataFrame:
     """The rows of docs that mix_documents keeps, with all their columns."""
-    mixed = _mixed(docs, id_col, text_col, source_col, lang_col, topic, targets, rounds, keep, power, seed)
+    rows = _labelled(docs, id_col, text_col, source_col, lang_col, topic)
+    mixed = _mixed(rows, Steps(docs.sparkSession, "raking"), targets, rounds, keep, power, seed)
     return mixed.filter("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
