@@ -3,7 +3,9 @@
 Windows of k words are the edges of the graph. Each task breaks its documents into short paths:
 consecutive windows that share a minimizer (the five words among theirs that hash lowest, long
 ones first) make one path, and only the path is shuffled, by its minimizer, so equal windows
-meet whatever document they come from. A path that several documents of one task hold leaves
+meet whatever document they come from. Minimizers of very many paths, such as those of a line that
+most documents hold, are counted first; their paths are cut into single windows that are dealt by
+themselves, so no key gathers a large share of the rows. A path that several documents of one task hold leaves
 it once, for the smallest id; the others know there that they repeat it. Where paths meet, every
 window gets its first document and its place there. Windows that an earlier document holds go
 on as pieces of path with both coordinates. Pieces that follow each other in the document and,
@@ -34,13 +36,15 @@ MINIMIZER = 5
 CHUNK_WORDS = 1 << 20  # words that a task looks at together
 KNOWN_WORDS = 1 << 20  # hashes of words a task remembers
 COMMON_BYTES = 20  # minimizers of fewer bytes come last: they are made of common words and would gather unrelated paths
+HEAVY_SHARE = 100_000  # a minimizer of more than this part of all paths is heavy, so there are fewer heavy ones than this
+HEAVY_PATHS = 2_000  # and it has more paths than this
 WIDTH = 6  # bytes of a window's own hash, beside the 64 bits of its minimizer's
 
 _U = np.uint64
 _ODD = [_U(xxhash.xxh64_intdigest(f"factor {i}") | 1) for i in range(64)]
-_FLOW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("edges", pa.binary()),
+_FLOW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("more", pa.binary()), ("edges", pa.binary()),
                    ("owner", pa.int64()), ("owner_start", pa.int64()), ("n", pa.int32())])
-_FLOW_SQL = "key long, doc long, text long, start long, edges binary, owner long, owner_start long, n int"
+_FLOW_SQL = "key long, doc long, text long, start long, more binary, edges binary, owner long, owner_start long, n int"
 _PIECE = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("owner", pa.int64()), ("owner_start", pa.int64())])
 _PIECE_SQL = "doc long, text long, start long, n int, owner long, owner_start long"
 
@@ -79,10 +83,10 @@ def _sums(hashes: np.ndarray, width: int, offset: int) -> np.ndarray:
 
 
 def paths(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple:
-    """Short paths of the parts that end at `ends`: (key, first window, windows, hash of every window)."""
-    n = len(hashes) - k + 1
+    """Short paths of the parts that end at `ends`: (key, first window, windows)."""
+    n, none = len(hashes) - k + 1, (np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64))
     if n <= 0:
-        return (np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U))
+        return none
     grams = _sums(hashes, m, 0)
     total = np.concatenate(([0], np.cumsum(sizes)))
     short = (total[m:] - total[:-m]) < COMMON_BYTES
@@ -96,12 +100,23 @@ def paths(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray, k: int, m: in
     inside = np.arange(n) + k <= ends[np.minimum(part, len(ends) - 1)]
     at = np.nonzero(inside)[0]
     if not len(at):
-        return (np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U))
+        return none
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (place[at[1:]] != place[at[:-1]])
     first = np.nonzero(new)[0]
     length = np.diff(np.append(first, len(at)))
-    return _mix(grams[place[at[first]]]), at[first], length, _sums(hashes, k, 16)
+    return _mix(grams[place[at[first]]]), at[first], length
+
+
+def cut_heavy(key: np.ndarray, first: np.ndarray, length: np.ndarray, edge: np.ndarray, heavy: np.ndarray) -> tuple:
+    """Paths with those of heavy keys cut into windows under keys of their own."""
+    big = np.isin(key, heavy)
+    if not big.any():
+        return key, first, length
+    n = length[big]
+    at = np.repeat(first[big] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    alone = _mix(np.repeat(key[big], n) ^ edge[at])
+    return np.concatenate([key[~big], alone]), np.concatenate([first[~big], at]), np.concatenate([length[~big], np.ones(len(at), np.int64)])
 
 
 class _Chunk:
@@ -120,10 +135,19 @@ class _Chunk:
         self.lengths.append(len(hashes))
         self.n += len(hashes)
 
-    def flow(self, k: int, m: int) -> pa.RecordBatch:
+    def counts(self, k: int, m: int) -> pa.RecordBatch:
+        """Minimizers of several paths in this chunk with the number of their paths; that of all paths has no key."""
+        key, _, _ = paths(np.concatenate(self.hashes), np.concatenate(self.sizes), np.cumsum(self.lengths), k, m)
+        keys, n = np.unique(key, return_counts=True)
+        some = n >= 4
+        return pa.RecordBatch.from_arrays([pa.array([None, *keys[some].view(np.int64).tolist()], pa.int64()),
+                                           pa.array([len(key), *n[some].tolist()], pa.int64())], names=["key", "n"])
+
+    def flow(self, k: int, m: int, heavy: np.ndarray) -> pa.RecordBatch:
         """Paths to shuffle, and pieces that repeat a path of a smaller id in the same chunk."""
-        ends = np.cumsum(self.lengths)
-        key, first, length, edge = paths(np.concatenate(self.hashes), np.concatenate(self.sizes), ends, k, m)
+        ends, hashes = np.cumsum(self.lengths), np.concatenate(self.hashes)
+        edge = _sums(hashes, k, 16)
+        key, first, length = cut_heavy(*paths(hashes, np.concatenate(self.sizes), ends, k, m), edge, heavy)
         part = np.searchsorted(ends, first, side="right")
         docs, texts = np.asarray(self.docs)[part], np.asarray(self.texts)[part]
         start = first - (ends - self.lengths)[part] + np.asarray(self.bases)[part]
@@ -132,28 +156,29 @@ class _Chunk:
         edges = edge[index]
         salted = edges * np.asarray(_ODD, _U)[16 + np.arange(len(index)) - np.repeat(offsets[:-1], length)] if len(index) else edges
         whole = np.add.reduceat(salted, offsets[:-1]) ^ key if len(key) else key
-        order = np.lexsort((docs, whole))
+        order = np.lexsort((start, docs, whole))
         fresh = np.ones(len(order), bool)
         fresh[1:] = whole[order[1:]] != whole[order[:-1]]
-        lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]  # the path's first document in the chunk
-        source = np.empty(len(order), np.int64)
-        source[order] = lead
-        repeats = docs[source] < docs
+        source = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]  # the path's first document in the chunk
+        own = docs[source] == docs[order]
+        sent, told, owner = order[fresh], order[~own], source[~own]
+        again = own & ~fresh  # further places in that document travel with the first
+        places = np.bincount(np.cumsum(fresh)[again] - 1, minlength=len(sent)) if len(sent) else np.empty(0, np.int64)
+        more = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer((np.concatenate(([0], np.cumsum(places))) * 8).astype(np.int32).tobytes()),
+                                                              pa.py_buffer(start[order[again]].astype("<i8").tobytes())])
         data = np.ascontiguousarray(edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
         binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((offsets * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(data)])
-        sent, told = pa.array(np.nonzero(~repeats)[0]), np.nonzero(repeats)[0]
-        owner = source[told]
-        none = pa.nulls(len(sent), pa.int64())
+        none, last = pa.nulls(len(sent), pa.int64()), pa.nulls(len(told), pa.binary())
         columns = [
-            (pa.array(key.view(np.int64)).take(sent), pa.array(_mix(whole[told]).view(np.int64))), (pa.array(docs).take(sent), docs[told]),
-            (pa.array(texts).take(sent), texts[told]), (pa.array(start).take(sent), start[told]), (binary.take(sent), pa.nulls(len(told), pa.binary())),
-            (none, docs[owner]), (none, start[owner]), (pa.array(length.astype(np.int32)).take(sent), length[told].astype(np.int32)),
+            (key.view(np.int64)[sent], _mix(whole[told] ^ _mix(start[told].astype(_U)) ^ docs[told].astype(_U)).view(np.int64)), (docs[sent], docs[told]), (texts[sent], texts[told]), (start[sent], start[told]),
+            (more, last), (binary.take(pa.array(sent)), last), (none, docs[owner]), (none, start[owner]), (length[sent].astype(np.int32), length[told].astype(np.int32)),
         ]
         return pa.RecordBatch.from_arrays([
             pa.chunked_array([pa.array(a, f.type), pa.array(b, f.type)]).combine_chunks() for (a, b), f in zip(columns, _FLOW, strict=True)], schema=_FLOW)
 
 
-def _break_down(k: int, m: int, chunk_words: int):
+def _chunks(k: int, chunk_words: int, use):
+    """Batches of rows as batches made from each chunk."""
     def run(batches):
         hashes_of, chunk = WordHashes(), _Chunk()
         for batch in batches:
@@ -165,10 +190,10 @@ def _break_down(k: int, m: int, chunk_words: int):
                         continue
                     chunk.add(doc, text, base, hashes_of(some), np.fromiter(map(len, some), np.int64, len(some)))
                     if chunk.n >= chunk_words:
-                        yield chunk.flow(k, m)
+                        yield use(chunk)
                         chunk = _Chunk()
         if chunk.n:
-            yield chunk.flow(k, m)
+            yield use(chunk)
 
     return run
 
@@ -204,7 +229,14 @@ def _first_places(table: pa.Table) -> pa.RecordBatch:
             new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]) | (owner[hit[1:]] != owner[hit[:-1]]) | (np.diff(owner_place[hit]) != 1)
             at = np.nonzero(new)[0]
             first, length = hit[at], np.diff(np.append(at, len(hit)))
-            out.append(pa.table([doc[row][first], text[row][first], place[first], length.astype(np.int32), owner[first], owner_place[first]], schema=_PIECE))
+            columns = [doc[row][first], text[row][first], place[first], length.astype(np.int32), owner[first], owner_place[first]]
+            out.append(pa.table(columns, schema=_PIECE))
+            more = [np.frombuffer(x or b"", "<i8") for x in table["more"].take(pa.array(row[first])).to_pylist()]
+            times = np.array([len(x) for x in more])
+            if times.sum():
+                columns = [np.repeat(c, times) for c in columns]
+                columns[2] = columns[2] + np.concatenate(more) - np.repeat(start[row[first]], times)
+                out.append(pa.table(columns, schema=_PIECE))
     return pa.concat_tables(out).combine_chunks().to_batches()
 
 
@@ -230,14 +262,20 @@ def _meet(rows: int = 100_000):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMIZER,
-                   chunk_words: int = CHUNK_WORDS) -> DataFrame:
+                   chunk_words: int = CHUNK_WORDS, heavy_paths: int = HEAVY_PATHS) -> DataFrame:
     """(doc, text, start, n, owner, owner_start): n words from word `start` on that stand in the document `owner`, the smallest id
     that holds their first window, from owner_start on. `text` is the XXH64 of the text, for rows that share an id. Every
     window that an earlier document holds lies in a span. k is at most 32."""
     small_batches(docs.sparkSession)
+    steps = Steps(docs.sparkSession, "debruijn-counts")
     body = F.encode(text_of(text_col), "utf-8")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(body).alias("text"), body.alias("body"))
-    flow = rows.mapInArrow(_break_down(k, m, chunk_words), _FLOW_SQL)
+    counts = rows.mapInArrow(_chunks(k, chunk_words, lambda c: c.counts(k, m)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = steps.write(counts, "counts")
+    every = counts.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    heavy = counts.filter(F.col("key").isNotNull() & (F.col("n") > max(heavy_paths, every // HEAVY_SHARE))).select("key")
+    heavy = np.array([r["key"] for r in heavy.collect()], np.int64).view(_U)  # fewer than HEAVY_SHARE
+    flow = rows.mapInArrow(_chunks(k, chunk_words, lambda c: c.flow(k, m, heavy)), _FLOW_SQL)
     pieces = flow.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(), _PIECE_SQL)
     pieces = pieces.withColumn("distance", F.col("start") - F.col("owner_start"))
     path = Window.partitionBy("doc", "text", "owner", "distance").orderBy("start")

@@ -204,8 +204,8 @@ def test_repeats_against_windows(spark):
                 gone.update(range(j, j + 13))
         want[i] = (len(words), len(gone), " ".join(w for j, w in enumerate(words) if j not in gone))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for chunk in (200, 1 << 20):
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in debruijn.remove_repeats(df, chunk_words=chunk).collect()}
+    for chunk, heavy in ((200, 2_000), (1 << 20, 6)):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in debruijn.remove_repeats(df, chunk_words=chunk, heavy_paths=heavy).collect()}
         assert got == want
     spans = debruijn.repeated_spans(df).collect()
     texts = {i: t.split() for i, t in docs}
