@@ -31,7 +31,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 TOPICS = (
     ("licensing", r"(?i)\blicen[cs]ed? "),
     ("credentials", r"(?i)\b(password|passwd|secret|token|api_?key)\b *[:=]"),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]"),
+    ("contact", r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[A-Za-z]"),
     ("links", r"https?://"),
 )
 
