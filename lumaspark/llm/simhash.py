@@ -24,32 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaspark.llm.components import components
+from lumaspark.llm.shingles import LEAST, SEED, shingle_hashes, similar_components
 from lumaspark.llm.tables import Steps, small_batches, text_of
 
-SEED = 42
 SEEDS = (SEED, 43)  # one word of 64 bits each
 
 
-def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each shingle of a lower-cased text: fewer words make one shingle, no words none."""
-    words = text.lower().split()
-    n = len(words)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: n - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)), np.uint64, n - width + 1)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Counts the set bits of each position, block by block, so long texts need little memory."""
     counts = np.zeros(64, np.int64)
@@ -162,21 +146,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, words).select("doc_id", *words, "component_id")
 
 
-STAGE_PLAN = [Segment(w, 16 * k, 16, 1) for w in range(2) for k in range(4)]
-STAGE_DISTANCE = 20
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                         distance: int = STAGE_DISTANCE) -> DataFrame:
+                         least: tuple[int, int] = LEAST) -> DataFrame:
     """docs with the document of the smallest id of each component; all columns and names stay as they are.
 
-    Fingerprints of 128 bits over five-word shingles. Texts that share 0.8 of their shingles have vectors at a cosine of
-    0.89, which is 19.4 of 128 bits on average, hence the distance of 20. Lookups of radius one in eight segments find
-    every link of up to 15 bits; of those of 20 bits they find nine in ten.
+    Links are pairs of texts whose five-word shingles have a similarity of 0.8 as multisets, by the shingles and not by
+    fingerprints: 128 bits scatter by 4 around the 19.4 that are expected there, so they can only guess.
 
     Rows that repeat the id that stays are one document and stay. Rows of null id stay only where their component has
     no id at all."""
-    found = near_components(docs, id_col, text_col, width, distance, seeds=SEEDS, plan=STAGE_PLAN)
+    found = similar_components(docs, id_col, text_col, width, least)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     gone = Steps(docs.sparkSession, "simhash-gone").write(gone, "ids")
     names = [f"c{i}" for i in range(len(docs.columns))]
