@@ -11,7 +11,8 @@ In training the ancestors that gave a page its labels are hidden now and then, s
 features learn to speak too. Extraction is one pass over whole pages, without a shuffle.
 
 Null pages are empty and give an empty text; broken markup never fails: unclosed elements end
-with the page, stray end tags are ignored. Ids and urls may be null or repeat. An empty table stays empty.
+with the page, stray end tags are ignored, raw elements closed in themselves hide nothing, and those without an
+end only what comes before the next block. Ids and urls may be null or repeat. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main me
 tfoot th thead title tr ul video audio iframe""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea svg iframe object".split())
+CODE_TAGS = frozenset("script style textarea".split())  # never closed by a slash, and run on to the end of the page
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -45,6 +47,7 @@ HIDDEN_TAGS = frozenset("head title button select option label legend".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_RAW_ENDS = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW_TAGS}
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
@@ -71,6 +74,7 @@ def _attribute_words(source: str) -> frozenset[str]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page that hold text, in page order."""
     out, stack, run, linked = [], [], [], 0  # stack: (tag, words of it and its ancestors)
+    unclosed = set()  # raw tags without an end: they hide text up to the next block or the end of their parent
 
     def close() -> None:
         nonlocal linked
@@ -88,7 +92,7 @@ def blocks(page: str) -> list[Block]:
 
     def words(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not (unclosed and any(t in unclosed for t, _ in stack)):
             run.append(text)
             if any(t == "a" for t, _ in stack[-4:]):
                 linked += len(text)
@@ -113,8 +117,14 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if tag in RAW_TAGS:
-            stop = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            if tag not in CODE_TAGS and attributes.rstrip().endswith("/"):
+                continue
+            stop = None if tag in unclosed else _RAW_ENDS[tag].search(page, at)
+            if stop or tag in CODE_TAGS:
+                at = stop.end() if stop else end
+            else:
+                unclosed.add(tag)  # looked for once: no end tag follows later ones either
+                stack.append((tag, stack[-1][1] if stack else frozenset()))
             continue
         if tag in VOID_TAGS:
             if tag == "br":
@@ -123,6 +133,8 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if tag in BLOCK_TAGS:
+            if unclosed and (left := next((i for i, (t, _) in enumerate(stack) if t in unclosed), None)) is not None:
+                pop(left)
             scope, ends = SCOPES.get(tag, frozenset()), CLOSES.get(tag, {"p"})
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
