@@ -208,19 +208,21 @@ b AS (SELECT count(*) AS n, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 A
 norm AS (SELECT media_id, (x - cx) / r * (sqrt(n) * 48 * 1.4::DOUBLE) AS x, (y - cy) / r * (sqrt(n) * 48 * 1.4::DOUBLE) AS y FROM fl, b)
 SELECT media_id, ord, round(x, 4) AS x, round(y, 4) AS y FROM norm JOIN o USING (media_id)""")
 def viewer_map(spark, sf):
+    """The layout part of viewer_map_spread, before overlaps are removed, which SQL cannot express."""
     m = plans.build_viewer(catalogue(spark, sf), locale=None, max_rounds=0)
     return m.items.select("media_id", "ord", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("viewer_map_spread")
 def viewer_map_spread(spark, sf):
-    m = plans.build_viewer(media(spark, sf), max_rounds=2)
+    """The whole viewer job: overlaps are removed by the job's own stopping rule."""
+    m = plans.build_viewer(media(spark, sf))
     return m.items.select("media_id", "ord", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 def _built(spark, sf):
     return plans.build_map(media(spark, sf), spark.createDataFrame([], "model string, cache_key string, vector array<float>"),
-                           "nomic", _size_model, method="PCA", density=1.0, max_rounds=2)
+                           "nomic", _size_model)
 
 
 @query("built_map")
