@@ -92,6 +92,13 @@ def kmeans_sampled_start(spark, sf):
     return cluster.kmeans(p, cluster.choose_k(p.count()), max_iter=6, seed=1)[0].select("media_id", "cluster")
 
 
+@query("kmeans_converged")
+def kmeans_converged(spark, sf):
+    """k-means by its own stopping rule; the queries above stop after the rounds of their SQL."""
+    p = points(spark, sf)
+    return cluster.kmeans(p, cluster.choose_k(p.count()), seed=1)[0].select("media_id", "cluster")
+
+
 @query("cluster_count", """WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
 SELECT event_type, n, CAST(least(8, greatest(2, ceil(sqrt(n / 2.0::DOUBLE)))) AS BIGINT) AS k,
   CAST(least(greatest(2, least(15, n - 1)), n - 1) AS BIGINT) AS neighbours FROM g""")
@@ -127,10 +134,10 @@ query("projection_pca")(_projected("PCA"))
 query("projection_mds")(_projected("MDS"))
 query("projection_sammon")(_projected("SAMMON"))
 query("projection_isomap")(_projected("ISOMAP"))
-query("projection_lle")(_projected("LLE", tolerance=0.05))
-query("projection_tsne")(_projected("TSNE", epochs=4))
-query("projection_umap")(_projected("UMAP", epochs=4))
-query("projection_trimap")(_projected("TriMap", epochs=4, inliers=5, outliers=3))
+query("projection_lle")(_projected("LLE"))
+query("projection_tsne")(_projected("TSNE"))
+query("projection_umap")(_projected("UMAP"))
+query("projection_trimap")(_projected("TriMap"))
 
 
 @query("projection_variance", f"""WITH {VEC}, e AS (SELECT media_id, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM vec),
