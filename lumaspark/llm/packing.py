@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ from lumaspark.llm.tables import small_batches, text_of
 
 MAX_TOKENS = 2048
 END_ID = 1
+LONG_BLANK = 50_000
+_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                      ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -42,32 +45,37 @@ class TokenIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer file defines them. A byte-level BPE's merges are its vocabulary in rank order, so the same ids
-    come several times faster from the vocabulary as ranks; texts that hold a special token go to the tokenizer.
+    come several times faster from the vocabulary as ranks. Texts that hold a special token go to the tokenizer, and so
+    do those with a very long run of white space, on which the pattern of the ranks would exhaust its stack.
+    With `plain`, the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, ranks_path: str):
+    def __init__(self, path: str, ranks_path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
+
+    def listed(self, text: str) -> list[int]:
+        if any(s in text for s in self.special) or (len(text) > LONG_BLANK and _BLANK.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.ranked.encode_ordinary(text)
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return np.asarray(self.listed(text), dtype="<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _ids(path: str, ranks_path: str) -> TokenIds:
-    return TokenIds(path, ranks_path)
+@lru_cache(maxsize=4)
+def _ids(path: str, ranks_path: str, plain: bool = False) -> TokenIds:
+    return TokenIds(path, ranks_path, plain)
 
 
 def binary_lengths(n: int, top: int = MAX_TOKENS) -> list[int]:

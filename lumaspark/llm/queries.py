@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.llm import cotrain, debruijn, html_crf, packing, patricia, raking, secret_scan, simhash, vptree, warc
+from lumaspark.llm import cotrain, debruijn, html_crf, packing, patricia, periodic_runs, raking, secret_scan, simhash, token_alignment, token_store, vptree, warc
 from lumaspark.llm.tables import Steps
 
 QUERIES: dict = {}
@@ -108,3 +108,27 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 @query
 def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, sf_dir, "documents"), k=13).drop("kept_text")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic_runs.with_periodic_tail(F.col("doc_id"), F.col("text"))
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), text_col=text).withColumn("top", periodic_runs.longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    length, period = F.col("top.length"), -F.col("top.shorter")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = token_store.stored_documents(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
