@@ -12,7 +12,8 @@ on as pieces of path with both coordinates. Pieces that follow each other in the
 at the same distance, in the source compact into one span by joins on (document, source,
 distance): a span's coordinates agree from end to end, or it is two spans.
 
-A window is told by 112 bits of hash of its words. Words are runs of anything but the six ASCII
+A window is told by 48 bits of a hash of its words beside the 64 bits of its minimizer's: of two different windows with one
+minimizer, one pair in 2.8e14 counts as equal. Words are runs of anything but the six ASCII
 blanks; a window lies within one document. Null texts have no words. Rows of null id repeat
 nothing and own nothing. Rows that share an id are one owner: they do not repeat each other.
 An empty table gives an empty result. Very long texts are read in overlapping parts.
@@ -156,11 +157,12 @@ class _Chunk:
         edges = edge[index]
         salted = edges * np.asarray(_ODD, _U)[16 + np.arange(len(index)) - np.repeat(offsets[:-1], length)] if len(index) else edges
         whole = np.add.reduceat(salted, offsets[:-1]) ^ key if len(key) else key
-        order = np.lexsort((start, docs, whole))
+        order = np.lexsort((start, texts, docs, whole))
         fresh = np.ones(len(order), bool)
         fresh[1:] = whole[order[1:]] != whole[order[:-1]]
         source = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]  # the path's first document in the chunk
         own = docs[source] == docs[order]
+        fresh[1:] |= own[1:] & (texts[order[1:]] != texts[order[:-1]])  # another text of that id sends the path too
         sent, told, owner = order[fresh], order[~own], source[~own]
         again = own & ~fresh  # further places in that document travel with the first
         places = np.bincount(np.cumsum(fresh)[again] - 1, minlength=len(sent)) if len(sent) else np.empty(0, np.int64)

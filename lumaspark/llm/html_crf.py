@@ -4,14 +4,14 @@ A page is read once into leaf blocks: runs of text between block-level tags, wit
 the class, id and role words of all ancestors. Features are those and measures of the text;
 a chain over the blocks in page order says which ones are the article, decoded by Viterbi.
 
-The model is trained on the driver on at most TRAIN_PAGES pages of TRAIN_CHARS, those whose ids hash lowest,
+The model is trained on the driver on at most `train_pages` pages of at most `train_chars` code points, those whose ids hash lowest,
 that say themselves where their article is (one article or main element, or an articleBody),
 and on pages composed from labelled fragments, for the kinds of blocks that the first lack.
 In training the ancestors that gave a page its labels are hidden now and then, so that other
 features learn to speak too. Extraction is one pass over whole pages, without a shuffle.
 
-Null pages are empty and give an empty text; broken markup never fails: unclosed elements end
-with the page, stray end tags are ignored, raw elements closed in themselves hide nothing, and those without an
+Null pages are empty and give an empty text; broken markup never fails, and takes time linear in the page: unclosed elements end
+with the page, but heads, labels, buttons and the like at the next block, stray end tags are ignored, a quote that nothing closes is a character, raw elements closed in themselves hide nothing, and those without an
 end only what comes before the next block. Ids and urls may be null or repeat. An empty table stays empty.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lumaspark.llm.tables import small_batches, text_of
 
 TRAIN_PAGES = 300
-TRAIN_CHARS = 200_000  # longer pages are extracted, but not trained on
+TRAIN_CHARS = 200_000  # longer pages are extracted, but not trained on: the default of a parameter
 EPOCHS = 12
 
 # Fixed values of the format
@@ -43,19 +43,36 @@ CODE_TAGS = frozenset("script style textarea".split())  # never closed by a slas
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-HIDDEN_TAGS = frozenset("head title button select option label legend".split())
+HIDDEN_TAGS = frozenset("head title button select option label legend".split())  # the head, and forms' own texts, which no main text has
+FORMAT_TAGS = BLOCK_TAGS | frozenset("a abbr b big cite code del em font i ins kbd mark q s small span strong sub sup tt u var".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens a value only behind an equals sign; elsewhere it is a character like any other
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|))*+)>", re.S)
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+LOST_QUOTES = 16  # tags without an end because of a quote, after which a page's quotes are not heeded
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW_ENDS = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW_TAGS}
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
 
+class _Element:
+    """An open element; what it inherits is shared with its parent as long as it adds nothing."""
+
+    __slots__ = ("tag", "tags", "words", "hidden")
+
+    def __init__(self, tag: str, above: _Element | None, words: frozenset[str]):
+        tags, inherited = (above.tags, above.words) if above else (frozenset(), frozenset())
+        self.tag, self.tags = tag, tags if tag in tags else tags | {tag}
+        self.words = inherited if words <= inherited else inherited | words
+        self.hidden = tag in HIDDEN_TAGS or (above is not None and above.hidden)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # of ancestors, outermost first
+    own: str  # tag of the innermost block-level ancestor
+    tags: frozenset[str]  # of ancestors
     words: frozenset[str]  # of their class, id, role and itemprop
     linked: int  # code points inside links
 
@@ -71,48 +88,110 @@ def _attribute_words(source: str) -> frozenset[str]:
     return frozenset(words)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page that hold text, in page order."""
-    out, stack, run, linked = [], [], [], 0  # stack: (tag, words of it and its ancestors)
+class _Stack:
+    """Open elements, with the places of each tag, so that no step looks through all of them."""
+
+    def __init__(self):
+        self.items: list[_Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.muted: list[int] = []  # raw elements without an end
+
+    def push(self, item: _Element, muted: bool = False) -> None:
+        at = len(self.items)
+        self.items.append(item)
+        self.places.setdefault(item.tag, []).append(at)
+        if item.tag in BLOCK_TAGS:
+            self.blocks.append(at)
+        if muted:
+            self.muted.append(at)
+
+    def cut(self, at: int) -> None:
+        for item in self.items[at:]:
+            self.places[item.tag].pop()
+        del self.items[at:]
+        for places in (self.blocks, self.muted):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def _markup(page: str):
+    """(start, end, closing, tag, attributes) of the tags of a page in order; the tag is empty for other markup."""
+    at, last, lost, pattern = 0, page.rfind(">"), 0, _MARKUP
+    while (at := page.find("<", at)) >= 0:
+        if at > last and not page.startswith("<!--", at):
+            return
+        m = pattern.match(page, at)
+        if m is None and pattern is _MARKUP and (m := _PLAIN.match(page, at)):
+            lost += 1
+            pattern = _PLAIN if lost >= LOST_QUOTES else _MARKUP
+        if m is None:
+            at += 1
+            continue
+        at = yield m.start(), m.end(), m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
+        at = m.end() if at is None else at
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page that hold text, in page order, in time linear in the page. With `known`, only names of
+    classes and the like that are in it are noted, and tags that are in it or in the format."""
+    out, stack, run, linked = [], _Stack(), [], 0
     unclosed = set()  # raw tags without an end: they hide text up to the next block or the end of their parent
 
     def close() -> None:
         nonlocal linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
-            if text:
-                out.append(Block(text, tuple(t for t, _ in stack), stack[-1][1] if stack else frozenset(), min(linked, len(text))))
+            top = stack.items[-1] if stack.items else None
+            if text and not (top and top.hidden):
+                own = stack.items[stack.blocks[-1]].tag if stack.blocks else "none"
+                out.append(Block(text, own, top.tags if top else frozenset(), top.words if top else frozenset(), min(linked, len(text))))
             run.clear()
         linked = 0
 
     def pop(at: int) -> None:
-        if any(t in BLOCK_TAGS for t, _ in stack[at:]):
+        if stack.blocks and stack.blocks[-1] >= at:
             close()
-        del stack[at:]
+        stack.cut(at)
 
     def words(text: str) -> None:
         nonlocal linked
-        if text and not (unclosed and any(t in unclosed for t, _ in stack)):
+        if text and not stack.muted:
             run.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(e.tag == "a" for e in stack.items[-4:]):
                 linked += len(text)
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            words(page[at:])
+    def opened(tag: str, attributes: str = "") -> _Element:
+        found = _attribute_words(attributes)
+        name = tag if known is None or tag in FORMAT_TAGS or tag in known else "other"
+        item = _Element(name, stack.items[-1] if stack.items else None, found if known is None else found & known)
+        item.hidden = item.hidden or tag in HIDDEN_TAGS
+        return item
+
+    lower = page.lower()
+    final = {tag: lower.rfind(f"</{tag}") for tag in HIDDEN_TAGS}  # where each is closed for the last time
+    at, tags, jump = 0, _markup(page), None
+    while True:
+        try:
+            begin, past, closing, tag, attributes = tags.send(jump)
+        except StopIteration:
             break
-        words(page[at:m.start()])
-        at = m.end()
-        closing, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3)
+        jump = None
+        if begin < at:
+            jump = at
+            continue
+        words(page[at:begin])
+        at = past
         if not tag:
             continue
         if closing:
-            if tag in CLOSES or any(t == tag for t, _ in stack):
-                found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if found is not None:
-                    pop(found)
+            found = stack.last((tag,))
+            if found >= 0:
+                pop(found)
             if tag in BLOCK_TAGS:
                 close()
             continue
@@ -121,10 +200,10 @@ def blocks(page: str) -> list[Block]:
                 continue
             stop = None if tag in unclosed else _RAW_ENDS[tag].search(page, at)
             if stop or tag in CODE_TAGS:
-                at = stop.end() if stop else end
+                at = jump = stop.end() if stop else len(page)
             else:
                 unclosed.add(tag)  # looked for once: no end tag follows later ones either
-                stack.append((tag, stack[-1][1] if stack else frozenset()))
+                stack.push(opened(tag), muted=True)
             continue
         if tag in VOID_TAGS:
             if tag == "br":
@@ -133,21 +212,23 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if tag in BLOCK_TAGS:
-            if unclosed and (left := next((i for i, (t, _) in enumerate(stack) if t in unclosed), None)) is not None:
-                pop(left)
-            scope, ends = SCOPES.get(tag, frozenset()), CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop(i)
-                    break
-                if stack[i][0] in scope or (tag in ("p",) and stack[i][0] in BLOCK_TAGS):
-                    break
+            if stack.muted:
+                pop(stack.muted[0])
+            # a control or head without an end tag ends where a block begins that it cannot hold
+            open_ended = [p for t in HIDDEN_TAGS if t != tag and stack.places.get(t) and final[t] < begin for p in stack.places[t][:1]]
+            if open_ended and tag not in HIDDEN_TAGS:
+                pop(min(open_ended))
+            ends, scope = stack.last(CLOSES.get(tag, ("p",))), stack.last(SCOPES.get(tag, ()))
+            if tag == "p" and ends >= 0:
+                scope = max((p for p in stack.blocks[-1:] if p != ends), default=-1)
+            if ends > scope:
+                pop(ends)
             close()
-        if not (attributes or "").rstrip().endswith("/"):
-            above = stack[-1][1] if stack else frozenset()
-            stack.append((tag, above | _attribute_words(attributes)))
+        if not attributes.rstrip().endswith("/"):
+            stack.push(opened(tag, attributes))
+    words(page[at:])
     close()
-    return [b for b in out if not HIDDEN_TAGS & set(b.tags)]
+    return out
 
 
 def _level(x: float, cuts: tuple[float, ...]) -> int:
@@ -159,7 +240,7 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
         n, words = len(b.text), len(_WORD.findall(b.text))
-        own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
+        own = b.own
         names = {f"in:{t}" for t in b.tags} | {f"named:{w}" for w in b.words}
         names |= {
             f"tag:{own}", f"size:{_level(n, (20, 60, 120, 250, 600))}", f"words:{_level(words, (2, 5, 10, 25, 60))}",
@@ -193,6 +274,10 @@ class ChainField:
             score[i, 1] = sum(self.weights[self.index[n]] for n in row if n in self.index)
         return score
 
+    def known(self) -> frozenset[str]:
+        """Tags and names that features may speak of."""
+        return frozenset(n.split(":", 1)[1] for n in self.index if n.startswith(("in:", "named:")))
+
     def decode(self, names: list[list[str]]) -> list[int]:
         """Viterbi."""
         if not names:
@@ -366,18 +451,18 @@ def train(pages: list[str], composed: int = 240) -> ChainField:
 
 
 def main_text(model: ChainField, page: str) -> str:
-    found = blocks(page)
+    found = blocks(page, model.known())
     return "\n".join(b.text for b, y in zip(found, model.decode(features(found)), strict=True) if y)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES,
-                 model: ChainField | None = None) -> DataFrame:
+                 train_chars: int = TRAIN_CHARS, model: ChainField | None = None) -> DataFrame:
     """One row per row of pages: page_id, url and text, the article's blocks joined by line ends."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
     if model is None:
-        ids = rows.filter(F.col("page_id").isNotNull() & (F.length("html") <= TRAIN_CHARS)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
-        chosen = rows.filter(F.length("html") <= TRAIN_CHARS).join(F.broadcast(ids), "page_id").select("page_id", "html").orderBy("page_id", "html").limit(train_pages)
+        ids = rows.filter(F.col("page_id").isNotNull() & (F.length("html") <= train_chars)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
+        chosen = rows.filter(F.length("html") <= train_chars).join(F.broadcast(ids), "page_id").select("page_id", "html").orderBy("page_id", "html").limit(train_pages)
         model = train([r["html"] for r in chosen.collect()])  # at most train_pages pages
 
     def run(batches):

@@ -88,7 +88,7 @@ def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = raking.mix_documents(table(spark, sf_dir, "documents"))
-    return mixed.withColumn("probability", F.round("probability", 9))
+    return mixed.withColumn("probability", F.round("probability", 6))
 
 
 SQL["op8_raked_mixture"] = raking.oracle()

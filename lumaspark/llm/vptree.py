@@ -9,6 +9,8 @@ triangle inequality along the top tree, and the same test prunes inside each tre
 relaxed by `factor`: a side is passed over if factor times its least possible distance exceeds
 the k-th distance. Factor one is exact; larger ones visit less.
 
+Ties go to the smaller id: candidates are compared by their products in component order, then by id, in the trees too.
+
 Equal vectors are one entry that keeps its k + 1 smallest ids, which is all that any query can
 use, so a vector held by a third of all rows stays small.
 
@@ -34,7 +36,12 @@ MAX_SHARDS = 4096  # leaves of the top tree; beyond, a leaf's vectors are cut in
 LEAF_ROWS = 256
 QUERY_BLOCK = 2_048
 FACTOR = 1.5
-SLACK = 8  # entries kept beyond k + 1, since block products round differently from the final scores
+PAIRS = 1 << 16  # pairs whose exact products are taken together
+
+
+def slack(norm2: float) -> float:
+    """What distances may be off by: they are roots of differences that rounding leaves."""
+    return 1e-7 * norm2 ** 0.5
 
 
 @dataclass
@@ -105,44 +112,56 @@ def reachable(node: Node, queries: np.ndarray, tau: np.ndarray, factor: float, i
 
 
 class Best:
-    """The `keep` best rows so far of each query, by inner product; tau is the distance of the `need`-th."""
+    """The `keep` best rows so far of each query, by exact inner product, ties to the smaller id; tau is the distance of the last of them.
+
+    Block products, which round differently, only say which rows cannot be among these."""
 
-    def __init__(self, queries: np.ndarray, norm2: float, keep: int, need: int, tau: np.ndarray | None):
-        self.keep, self.need, self.base = keep, need, (queries ** 2).sum(1) + norm2
+    def __init__(self, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, norm2: float, keep: int, tau: np.ndarray | None):
+        self.queries, self.vectors, self.ids, self.keep, self.base = queries, vectors, ids, keep, (queries ** 2).sum(1) + norm2
         self.scores = np.full((len(queries), keep), -np.inf)
         self.rows = np.full((len(queries), keep), -1, np.int64)
         self.start = np.full(len(queries), np.inf) if tau is None else tau
+        self.doubt = 1e-12 * max(norm2, 1e-300) * queries.shape[1]
+        self.slack = slack(norm2)
 
     def tau(self, index: np.ndarray) -> np.ndarray:
-        kth = self.scores[index, self.need - 1]
+        kth = self.scores[index, -1]
         known = np.isfinite(kth)
         own = np.where(known, np.sqrt(np.maximum(self.base[index] - 2 * np.where(known, kth, 0.0), 0.0)), np.inf)
-        return np.minimum(own, self.start[index]) + 1e-9
-
-    def add(self, index: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
-        s = np.concatenate([self.scores[index], scores], axis=1)
-        r = np.concatenate([self.rows[index], np.broadcast_to(rows, scores.shape)], axis=1)
-        if s.shape[1] > 4 * self.keep:
-            top = np.argpartition(-s, self.keep, axis=1)[:, : self.keep]
-            s, r = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1)
-        order = np.argsort(-s, axis=1, kind="stable")[:, : self.keep]
-        self.scores[index], self.rows[index] = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-
-
-def search(node: Node, vectors: np.ndarray, queries: np.ndarray, wide: np.ndarray, best: Best, factor: float, index: np.ndarray) -> None:
+        return np.minimum(own, self.start[index]) + self.slack
+
+    def add(self, index: np.ndarray, rows: np.ndarray) -> None:
+        about = self.queries[index] @ self.vectors[rows].T
+        floor = self.scores[index, -1]
+        if len(rows) > self.keep:
+            floor = np.maximum(floor, -np.partition(-about, self.keep - 1, axis=1)[:, self.keep - 1])
+        at, col = np.nonzero(about >= floor[:, None] - self.doubt)
+        exact = np.concatenate([_exact(self.queries[index[at[i:i + PAIRS]]], self.vectors[rows[col[i:i + PAIRS]]]) for i in range(0, max(1, len(at)), PAIRS)])
+        held, place = np.nonzero(self.rows[index] >= 0)
+        which = np.concatenate([held, at])
+        scores = np.concatenate([self.scores[index[held], place], exact])
+        found = np.concatenate([self.rows[index[held], place], rows[col]])
+        order = np.lexsort((self.ids[found], -scores, which))
+        which, scores, found = which[order], scores[order], found[order]
+        rank = np.arange(len(which)) - np.searchsorted(which, which, "left")
+        top = rank < self.keep
+        self.scores[index[which[top]], rank[top]], self.rows[index[which[top]], rank[top]] = scores[top], found[top]
+
+
+def search(node: Node, wide: np.ndarray, best: Best, factor: float, index: np.ndarray) -> None:
     """Visits the nearer side first, the other one only where it may hold something closer than tau."""
     if not len(index):
         return
     if node.point is None:
         if len(node.rows):
-            best.add(index, queries[index] @ vectors[node.rows].T, node.rows)
+            best.add(index, node.rows)
         return
     d = _distances(wide[index], node.point)
     inside = d <= node.radius
     for first, second, mask, sign in ((node.inner, node.outer, inside, 1), (node.outer, node.inner, ~inside, -1)):
         some, gap = index[mask], sign * (node.radius - d[mask])
-        search(first, vectors, queries, wide, best, factor, some)
-        search(second, vectors, queries, wide, best, factor, some[gap * factor <= best.tau(some)])
+        search(first, wide, best, factor, some)
+        search(second, wide, best, factor, some[gap * factor <= best.tau(some)])
 
 
 def _widened(vectors: np.ndarray, norm2: float) -> np.ndarray:
@@ -160,7 +179,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 _FOUND = "query long, entry long, score double"
 
 
-def _search_shard(norm2: float, keep: int, need: int, factor: float):
+def _search_shard(norm2: float, keep: int, factor: float):
     def run(key, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
             return pd.DataFrame({"query": [], "entry": [], "score": []})
@@ -170,11 +189,11 @@ def _search_shard(norm2: float, keep: int, need: int, factor: float):
         for i in range(0, len(queries), QUERY_BLOCK):
             part = queries.iloc[i:i + QUERY_BLOCK]
             q = np.stack(part["vector"].to_numpy()).astype(np.float64)
-            best = Best(q, norm2, min(keep, len(vectors)), min(need, len(vectors)), part["tau"].to_numpy())
-            search(tree, vectors, q, np.hstack([q, np.zeros((len(q), 1))]), best, factor, np.arange(len(q)))
+            best = Best(q, vectors, shard["least"].to_numpy(), norm2, min(keep, len(vectors)), part["tau"].to_numpy())
+            search(tree, np.hstack([q, np.zeros((len(q), 1))]), best, factor, np.arange(len(q)))
             at, col = np.nonzero(best.rows >= 0)
             rows = best.rows[at, col]
-            out.append(pd.DataFrame({"query": part["node"].to_numpy()[at], "entry": entries[rows], "score": _exact(q[at], vectors[rows])}))
+            out.append(pd.DataFrame({"query": part["node"].to_numpy()[at], "entry": entries[rows], "score": best.scores[at, col]}))
         return pd.concat(out)
 
     return run
@@ -220,7 +239,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         for b in batches:
             if len(b):
                 wide = _widened(np.stack(b["vector"].to_numpy()).astype(np.float64), norm2)
-                yield pd.DataFrame({"node": b["node"], "vector": b["vector"], "shard": descend(top, wide)})
+                yield pd.DataFrame({"node": b["node"], "least": b["least"], "vector": b["vector"], "shard": descend(top, wide)})
 
     def visit(home: bool):
         def run(batches):
@@ -231,7 +250,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 wide, every = np.hstack([q, np.zeros((len(q), 1))]), np.arange(len(q))
                 own = descend(top, wide)
                 tau = np.full(len(q), np.inf) if home else b["tau"].to_numpy()
-                visits = [(s, own == s) for s in np.unique(own)] if home else reachable(top, wide, tau + 1e-9, factor, every)
+                visits = [(s, own == s) for s in np.unique(own)] if home else reachable(top, wide, tau + slack(norm2), factor, every)
                 for s, index in visits:
                     index = every[index] if home else index[own[index] != s]
                     part = b.iloc[index]
@@ -240,9 +259,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         return run
 
     kind = entries.schema["vector"].dataType.simpleString()
-    shards = steps.write(entries.select("node", "vector").mapInPandas(place, f"node long, vector {kind}, shard long"), "shards")
-    keep = limit + SLACK
-    find = _search_shard(norm2, keep, limit, factor)
+    shards = steps.write(entries.select("node", F.get("ids", 0).alias("least"), "vector").mapInPandas(place, f"node long, least long, vector {kind}, shard long"), "shards")
+    find = _search_shard(norm2, limit, factor)
     queries = entries.filter("asks").select("node", "vector")
     visits = f"node long, vector {kind}, tau double, shard long"
 

@@ -54,6 +54,13 @@ def test_pack_edges(docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_pack_long_white_space(spark):
+    for blank in (" ", "\n", "\u3000"):
+        rows = packing.pack_documents(spark.createDataFrame([(1, "a" + blank * 1_000_000 + "b")], "doc_id long, text string")).collect()
+        want = packing._ids(*packing.default_tokenizer()).tokenizer.encode("a" + blank * 1_000_000 + "b", add_special_tokens=False).ids
+        assert sum(r["length"] for r in rows) == len(want) + 1
+
+
 def test_quality_edges(docs, labels, spark):
     assert cotrain.score_documents(docs, labels).count() == len(ROWS)
     assert cotrain.keep_good(docs, labels).columns == docs.columns
@@ -94,7 +101,7 @@ def test_trie_spills(docs):
 def test_mix_edges(docs):
     rows = raking.mix_documents(docs, rounds=3).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["probability"] <= 1 for r in rows)
-    assert {r["source"] for r in rows} == {"a", "b", "(none)"}
+    assert {r["source"] for r in rows} == {"a", "b", "(none)"} and {"probability", "kept", "copies"} <= set(rows[0].asDict())
     assert raking.sample_mixture(docs, rounds=2).columns == docs.columns
     assert raking.mix_documents(docs.limit(0), rounds=2).count() == 0
 
