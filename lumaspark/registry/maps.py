@@ -311,14 +311,95 @@ def debounced_stream(spark, sf):
     return rows.select("user_id", F.unix_micros("emit_ts").alias("emit_us"), "value", "cleared")
 
 
-@query("streamed_cache", f"""WITH {CATALOGUE_SQL}, {MEDIA_SQL}, k AS (SELECT {CACHE_KEY_SQL} AS cache_key, size FROM media WHERE size % 700 <> 0),
+_SIZE_VECTORS_SQL = f"""WITH {CATALOGUE_SQL}, {MEDIA_SQL}, k AS (SELECT {CACHE_KEY_SQL} AS cache_key, size FROM media WHERE size % 700 <> 0),
 f AS (SELECT cache_key, list_transform([(size % 7) / 7.0::DOUBLE, (size % 11) / 11.0::DOUBLE, (size % 13) / 13.0::DOUBLE, (size % 17) / 17.0::DOUBLE], lambda x: CAST(x AS FLOAT)) AS f FROM k),
 n AS (SELECT cache_key, f, sqrt(list_sum(list_transform(f, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM f)
-SELECT cache_key, round(CAST(CAST(CAST(f[1] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT) AS DOUBLE), 5) AS v1 FROM n""")
+SELECT cache_key, """ + ", ".join(
+    f"round(CAST(CAST(CAST(f[{i}] AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT) AS DOUBLE), 5) AS v{i}" for i in range(1, 5)) + " FROM n"
+
+
+def _cached(store):
+    return store.read("").select("cache_key", *(F.round(F.get("vector", i).cast("double"), 5).alias(f"v{i + 1}") for i in range(4)))
+
+
+def _event_parts(spark, sf, n: int = 3):
+    """The folder of the events dealt over several files, and their names, for streams of several batches."""
+    out = f"{_scratch(spark)}/events"
+    table(spark, sf, "events").repartition(n, "event_id").write.parquet(out)
+    return out
+
+
+def _streamed_store(spark, sf):
+    """A cache that a stream filled, a file a batch; and the last batch with the step that took it."""
+    out = _scratch(spark)
+    store, last = cache.StoredCache(spark, f"{out}/cache"), {}
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(_event_parts(spark, sf))
+    step = streams.embed_batch(store, "", _size_model, writer="stream")
+
+    def keep(batch, batch_id):
+        step(batch, batch_id)
+        last["batch"] = batch_id, batch.schema
+        batch.write.mode("overwrite").parquet(f"{out}/batch")
+
+    catalogue_from_tree(as_catalogue(events)).writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    batch_id, schema = last["batch"]
+    return store, step, spark.read.schema(schema).parquet(f"{out}/batch"), batch_id, out
+
+
+@query("streamed_cache", _SIZE_VECTORS_SQL)
 def streamed_cache(spark, sf):
-    """Files arrive as a stream; the cache holds a vector for each that the model could read."""
+    """Files arrive as a stream of several batches; the cache holds a vector for each that the model could read."""
     out = _scratch(spark)
     store = cache.StoredCache(spark, f"{out}/cache")
-    files = catalogue_from_tree(as_catalogue(_event_stream(spark, sf)))
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(_event_parts(spark, sf))
+    files = catalogue_from_tree(as_catalogue(events))
     streams.stream_embed(files, store, "", _size_model, f"{out}/state").awaitTermination()
-    return store.read("").select("cache_key", F.round(F.get("vector", 0).cast("double"), 5).alias("v1"))
+    return _cached(store)
+
+
+@query("replayed_cache", _SIZE_VECTORS_SQL)
+def replayed_cache(spark, sf):
+    """The last batch of a stream comes again, as after a failure: before its write was complete, and after."""
+    store, step, batch, batch_id, out = _streamed_store(spark, sf)
+    step(batch, batch_id)
+    half = cache.StoredCache(spark, f"{out}/half")  # a driver was lost while it wrote its only batch
+    files = catalogue_from_tree(as_catalogue(table(spark, sf, "events")))
+    half.begin("stream", 0)
+    half.read().limit(0).write.parquet(f"{half.path}/writer=stream/seq=0/model=x")
+    streams.embed_batch(half, "", _size_model, writer="stream")(files, 0)
+    both = _cached(store).unionByName(_cached(half)).groupBy("cache_key", "v1", "v2", "v3", "v4").count()
+    return both.where("count = 2").drop("count")
+
+
+@query("shared_cache", _SIZE_VECTORS_SQL)
+def shared_cache(spark, sf):
+    """Two writers: a stream's values, older ones of another writer that arrive late, and a late replay of the stream's first
+    write, which must not overtake the other writer's newest ones (right, after wrong ones)."""
+    out = _scratch(spark)
+    store = cache.StoredCache(spark, f"{out}/cache")
+    files = catalogue_from_tree(as_catalogue(table(spark, sf, "events")))
+    step = streams.embed_batch(store, "", _size_model, writer="stream")
+    early = store.begin("nightly", 0)  # begins first, ends last
+    step(files, 0)
+    right = materialize(store.read(""))
+    wrong = right.withColumn("vector", F.transform("vector", lambda x: x + 1))
+    store.put(materialize(wrong), 0, "nightly")  # older than the stream's
+    store.put(materialize(wrong), 1, "nightly")
+    store.put(materialize(right), 2, "nightly")
+    store.put(materialize(wrong), 0, "stream")  # a write that is complete
+    step(files, 0)
+    if store.begin("nightly", 0) != early:
+        raise AssertionError("a write lost its place")
+    return _cached(store)
+
+
+@query("compacted_cache", _SIZE_VECTORS_SQL)
+def compacted_cache(spark, sf):
+    """A stream goes on in the compacted form of its cache."""
+    store, _, batch, batch_id, out = _streamed_store(spark, sf)
+    small = store.compact(f"{out}/small")
+    stale = small.read("").withColumn("vector", F.transform("vector", lambda x: x * 0))
+    small.put(materialize(stale), 7, "other", put_at=1)  # older than what was compacted
+    streams.embed_batch(small, "", _size_model, writer="stream")(batch, batch_id + 1)
+    return _cached(small)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         known = tempfile.mkdtemp(prefix="lumaspark-ckpt-")
         sc.setCheckpointDir(known)
@@ -76,3 +77,8 @@ def widen(df: DataFrame) -> DataFrame:
     files stay as they are. For scans only, since it asks the plan for its partitions."""
     width = shuffle_width(df.sparkSession)
     return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches for Python workers are cut by bytes, so that rows with long lists do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -37,16 +37,18 @@ def embed_batch(cache: StoredCache, model: str, infer: Callable[[DataFrame], Dat
                 then: Callable[[DataFrame, int], None] | None = None, writer: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: vectors for the batch, new ones stored under the writer and batch number.
 
-    A batch that runs twice writes the same folder again, so the result is the same. Each stream
-    needs a writer of its own; ``stream_embed`` takes one that its checkpoint keeps.
+    A batch sees the cache as it was when the batch first began. Run again, it finds its own write if that was completed:
+    nothing is inferred or stored anew and ``then`` gets the same vectors. Else it starts over, with its old place in the
+    order of writes. Each stream needs a writer of its own; ``stream_embed`` takes one that its checkpoint keeps.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        got, writes = embed_with_cache(batch, cache.read(model), model, infer)
-        writes = materialize(writes)  # read before the batch's own folder appears
+        begun = cache.begin(writer, batch_id)
+        got, writes = embed_with_cache(batch, cache.read(model, begun, (writer, batch_id)), model, infer)
         done = materialize(got.select("media_id", "name", "vector", "from_cache", "ok")) if then else None
-        cache.put(writes, batch_id, writer)
+        if not cache.committed(writer, batch_id):
+            cache.put(writes, batch_id, writer)
         if then:
             then(done, batch_id)
 

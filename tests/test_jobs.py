@@ -343,3 +343,44 @@ def test_walk_keeps_underscore_names_and_reads_bytes_late(spark, tmp_path):
     gone = spark.createDataFrame([("no.jpg", 0)], "name string, size bigint")
     got = {r["name"]: r["content"] for r in media.read_content(files.select("name", "size").unionByName(gone), str(tmp_path / "m")).collect()}
     assert got.pop("no.jpg") is None and all(bytes(v) == (tmp_path / "m" / n).read_bytes() for n, v in got.items())
+
+
+def test_replay_keeps_rows_and_places(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame([("", k, vec(v)) for k, v in pairs], cache.CACHE_SCHEMA)
+
+    def held():
+        return {(r[1], r[2][0]) for r in store.read().collect()}
+
+    store = cache.StoredCache(spark, str(tmp_path / "c"))
+    calls, got = [], []
+
+    def infer(files):
+        calls.append(1)
+        return files.select("media_id", F.array(F.col("size").cast("float")).alias("vector"), F.lit(True).alias("ok"))
+
+    files = files_df(spark, [f"a/p{i}.jpg" for i in range(5)])
+    step = streams.embed_batch(store, "", infer, lambda done, n: got.append({(r["media_id"], tuple(r["vector"])) for r in done.collect()}), "s")
+    for _ in range(3):
+        step(files, 0)
+        assert store.read().count() == 5
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
+    place = store.begin("s", 1)
+    assert store.begin("t", 0) > place and store.begin("s", 1) == place
+    store.put(rows(("z", 1)), 0, "t")
+    store.put(rows(("z", 2)), 1, "s")  # begun before the other
+    assert ("z", 1.0) in held()
+    assert not store.put(rows(("z", 9)), 0, "t") and ("z", 1.0) in held()
+    rows(("y", 1)).drop("model").withColumn("put_at", F.lit(10**15)).write.parquet(str(tmp_path / "c/writer=u/seq=0/model="))  # not complete
+    assert not any(k == "y" for k, _ in held())
+    assert {r[1] for r in store.read(as_of=store.begin("t", 0)).collect()} == {r[1] for r in store.read().collect()}
+    assert store.read(as_of=store.begin("s", 0)).count() == 0 and store.read(as_of=store.begin("s", 0), own=("s", 0)).count() == 5
+
+
+def test_caches_from_before_records_are_taken_over(spark, tmp_path):
+    old = spark.createDataFrame([("", "a", vec(1), 5)], cache.CACHE_SCHEMA + ", put_at bigint")
+    old.write.partitionBy("model").parquet(str(tmp_path / "c/writer=w/seq=0"))
+    store = cache.StoredCache(spark, str(tmp_path / "c"))
+    assert store.read().count() == 1
+    store.put(spark.createDataFrame([("", "b", vec(1))], cache.CACHE_SCHEMA), 1, "w")
+    assert {r[1] for r in store.read().collect()} == {"a", "b"}
