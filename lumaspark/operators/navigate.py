@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from lumaspark.functions.paths import folder_of
 from lumaspark.operators.blocks import pair_groups
 from lumaspark.operators.ordering import ordered_neighbours, slices
-from lumaspark.session import materialize, shuffle_width
+from lumaspark.session import materialize
 
 # direction: (axis it moves along, sign)
 DIRECTIONS = {"left": ("x", -1), "right": ("x", 1), "up": ("y", -1), "down": ("y", 1)}
 DRIFT = 5.0  # weight of squared sideways distance
 WRAP_DRIFT = 2.0  # weight of sideways distance when stepping over the edge
 TILE_ROWS = 2048
-MAX_TILES = 200_000
 FEW_EDGES = 32  # up to here, wrapping steps are aggregates over the points
 
 
@@ -53,8 +52,8 @@ def _interleave(c: Column) -> Column:
     return v
 
 
-def _tiles(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
-    """Stacks cut along a space-filling curve into tiles of at most ``tile_rows``: even
+def _tiles(stacks: DataFrame, box, tile_rows: int) -> tuple[DataFrame, int]:
+    """Stacks cut along a space-filling curve into tiles of at most ``tile_rows``, numbered along it, and their number: even
     when most points crowd in one place, no tile is larger than another."""
     def grid(c: str, lo: float, hi: float) -> Column:
         return F.floor((F.col(c) - lo) / ((hi - lo) or 1.0) * 1048575).cast("bigint")
@@ -62,48 +61,65 @@ def _tiles(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
     code = _interleave(grid("x", box["min_x"], box["max_x"])).bitwiseOR(
         F.shiftleft(_interleave(grid("y", box["min_y"], box["max_y"])), 1))
     cut = slices(stacks.withColumn("_z", code), "_z", "x", "y")
-    return cut.withColumn("tile", F.shiftleft(F.col("_slice").cast("bigint"), 32) + F.floor(F.col("_pos") / tile_rows)).drop("_z", "_slice", "_pos")
+    sizes = cut.groupBy("_slice").agg((F.floor(F.max("_pos") / tile_rows) + 1).alias("n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    sizes = materialize(sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tile = (F.col("first") + F.floor(F.col("_pos") / tile_rows)).cast("bigint")
+    return cut.join(sizes, "_slice").withColumn("tile", tile).drop("_z", "_slice", "_pos", "first", "n"), total
 
 
 _BOX = ("min_x", "max_x", "min_y", "max_y")
+FAN = 8  # tiles, or groups of tiles, that the next level of the tree holds as one
 
 
-def _tile_pairs(directory: DataFrame) -> DataFrame:
-    """Tile pairs that may hold the nearest point ahead, with the directions as bits.
+def _levels(tiled: DataFrame, tiles: int) -> list[DataFrame]:
+    """Boxes of the tiles, then of FAN neighbours along the curve as one, up to a single box: (node, min_x, ...)."""
+    directory = materialize(tiled.groupBy(F.col("tile").alias("node")).agg(
+        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y")))
+    levels, width = [directory], tiles
+    while width > 1:
+        up = levels[-1].groupBy(F.floor(F.col("node") / FAN).cast("bigint").alias("node")).agg(
+            *((F.min if c.startswith("min") else F.max)(c).alias(c) for c in _BOX))
+        levels.append(materialize(up))
+        width = -(-width // FAN)
+    return levels
 
-    A tile wholly ahead bounds the cost for all points of the asking tile; tiles whose
-    lowest possible cost is above the best such bound drop out. The directory has at
-    most about MAX_TILES rows, so it can be shipped.
+
+def _tile_pairs(tiled: DataFrame, tiles: int) -> DataFrame:
+    """(tile, other, dirs): tile pairs that may hold the nearest point ahead, with the directions as bits.
+
+    Down the tree of boxes, from the pair of the root with itself. A box wholly ahead bounds the cost for all points of the asking
+    box; boxes whose lowest possible cost is above the best such bound, or that of the boxes above, drop out with all below them.
+    A level is two joins by parent and one window over the candidates of each asking box.
     """
-    spark, known = directory.sparkSession, directory.toPandas()
-    shared = spark.sparkContext.broadcast(known)
-
-    def visit(batches):
-        d = shared.value
-        ids, box = d["tile"].to_numpy(), {c: d[c].to_numpy() for c in _BOX}
-        for pdf in batches:
-            for q in pdf.itertuples():
-                mask = np.zeros(len(ids), dtype=np.int32)
-                for bit, (axis, sign) in enumerate(DIRECTIONS.values()):
-                    other = "y" if axis == "x" else "x"
-                    lo, hi = box[f"min_{axis}"], box[f"max_{axis}"]
-                    qlo, qhi = getattr(q, f"min_{axis}"), getattr(q, f"max_{axis}")
-                    closest, farthest = (lo - qhi, hi - qlo) if sign > 0 else (qlo - hi, qhi - lo)
-                    blo, bhi = box[f"min_{other}"], box[f"max_{other}"]
-                    rlo, rhi = getattr(q, f"min_{other}"), getattr(q, f"max_{other}")
-                    side = np.maximum(0, np.maximum(blo - rhi, rlo - bhi))
-                    far_side = np.maximum(bhi - rlo, rhi - blo)
-                    least = np.maximum(closest, 0) ** 2 + DRIFT * side ** 2
-                    most = np.where(closest > 0, farthest ** 2 + DRIFT * far_side ** 2, np.inf)
-                    keep = (farthest > 0) & (least <= most.min() * (1 + 1e-9))
-                    mask |= keep.astype(np.int32) << bit
-                hit = mask > 0
-                yield pd.DataFrame({"tile": q.tile, "other": ids[hit], "dirs": mask[hit]})
-
-    asking = spark.createDataFrame(known)
-    if len(known) > 256:
-        asking = asking.repartition(shuffle_width(spark))
-    return asking.mapInPandas(visit, "tile bigint, other bigint, dirs int")
+    levels = _levels(tiled, tiles)
+    bound, bits = [f"_bound{i}" for i in range(4)], {d: 1 << i for i, d in enumerate(DIRECTIONS)}
+    pairs = levels[-1].select(F.col("node").alias("q"), F.col("node").alias("o"), F.lit(15).alias("dirs"), *(F.lit(float("inf")).alias(b) for b in bound))
+    for depth, level in enumerate(reversed(levels)):
+        if depth:
+            mine = level.select(F.floor(F.col("node") / FAN).cast("bigint").alias("q"), F.col("node").alias("nq"))
+            theirs = level.select(F.floor(F.col("node") / FAN).cast("bigint").alias("o"), F.col("node").alias("no"))
+            pairs = pairs.join(mine, "q").join(theirs, "o").select(F.col("nq").alias("q"), F.col("no").alias("o"), "dirs", *bound)
+        q = level.select(F.col("node").alias("q"), *(F.col(c).alias(f"q_{c}") for c in _BOX))
+        o = level.select(F.col("node").alias("o"), *(F.col(c).alias(f"o_{c}") for c in _BOX))
+        pairs = pairs.join(q, "q").join(o, "o")
+        asking, least, kept = Window.partitionBy("q"), {}, F.lit(0)
+        for b, (name, (axis, sign)) in zip(bound, DIRECTIONS.items(), strict=True):
+            other = "y" if axis == "x" else "x"
+            one, two = ("o", "q") if sign > 0 else ("q", "o")
+            closest = F.col(f"{one}_min_{axis}") - F.col(f"{two}_max_{axis}")
+            farthest = F.col(f"{one}_max_{axis}") - F.col(f"{two}_min_{axis}")
+            apart = [F.col(f"o_min_{other}") - F.col(f"q_max_{other}"), F.col(f"q_min_{other}") - F.col(f"o_max_{other}")]
+            across = F.greatest(F.col(f"o_max_{other}") - F.col(f"q_min_{other}"), F.col(f"q_max_{other}") - F.col(f"o_min_{other}"))
+            near, side = F.greatest(closest, F.lit(0.0)), F.greatest(*apart, F.lit(0.0))
+            least[name] = near * near + side * side * DRIFT
+            most = F.when(closest > 0, farthest * farthest + across * across * DRIFT).otherwise(F.lit(float("inf")))
+            pairs = pairs.withColumn(b, F.least(F.col(b), F.min(most).over(asking)))
+            alive = F.col("dirs").bitwiseAND(F.lit(bits[name])) > 0
+            kept = kept + F.when(alive & (farthest > 0) & (least[name] <= F.col(b) * (1 + 1e-9)), bits[name]).otherwise(0)
+        pairs = pairs.withColumn("dirs", kept.cast("int")).where("dirs > 0").select("q", "o", "dirs", *bound)
+    return materialize(pairs.select(F.col("q").alias("tile"), F.col("o").alias("other"), "dirs"))
 
 
 def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -130,10 +146,8 @@ def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def _steps_ahead(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
     """(gid, dir, dst) for every stack that has a point ahead of it."""
-    tiled = _tiles(stacks, box, tile_rows)
-    directory = tiled.groupBy("tile").agg(
-        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-    pairs = _tile_pairs(directory)
+    tiled, tiles = _tiles(stacks, box, tile_rows)
+    pairs = _tile_pairs(tiled, tiles)
     asking = tiled.join(pairs, "tile").select("tile", "other", "dirs", "gid", "x", "y")
     asked = tiled.withColumnRenamed("tile", "other").join(pairs, "other").select("tile", "other", "gid", "x", "y")
     found = pair_groups(asking, asked, ["tile", "other"], _step_kernel, "gid bigint, dir string, cost double, dst bigint")
@@ -225,7 +239,6 @@ def nav_graph(points: DataFrame, tile_rows: int = TILE_ROWS, few_edges: int = FE
     box = bounds(stacks).first()
     if not box["n"]:
         return pts.select("media_id", *(F.lit(None).cast("bigint").alias(d) for d in DIRECTIONS))
-    tile_rows = max(tile_rows, -(-box["n"] // MAX_TILES))
     ahead = _steps_ahead(stacks, box, tile_rows).select("gid", "dir", F.lit(True).alias("is_ahead"), F.lit(0.0).alias("score"), "dst")
     few = _edge_stacks(stacks, box, few_edges)
     if few is not None:

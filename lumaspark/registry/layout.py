@@ -176,12 +176,11 @@ def navigation_graph(spark, sf):
     return navigate.nav_graph(points(spark, sf))
 
 
-@query("navigation_graph_folders", "WITH " + _brute(_FOLDERS_SQL + ", cu AS (SELECT DISTINCT x, y, min(media_id) AS media_id FROM (SELECT media_id, floor(x / 720) AS x, floor(y / 720) AS y FROM fl) GROUP BY x, y)", "cu", ""))
+@query("navigation_graph_folders", "WITH " + _brute(_FOLDERS_SQL + ", cu AS (SELECT media_id, floor(x / 720) AS x, floor(y / 720) AS y FROM fl)", "cu", ""))
 def navigation_graph_folders(spark, sf):
-    """Navigation over blocks of the folder grid: coordinates with very many equal values."""
+    """Navigation over blocks of the folder grid: all files, stacked by the dozen, with very many equal coordinates."""
     grid = layout.folder_layout(catalogue(spark, sf), locale=None)
-    cells = grid.select("media_id", F.floor(F.col("x") / 720).cast("double").alias("x"), F.floor(F.col("y") / 720).cast("double").alias("y"))
-    return navigate.nav_graph(cells.groupBy("x", "y").agg(F.min("media_id").alias("media_id")))
+    return navigate.nav_graph(grid.select("media_id", F.floor(F.col("x") / 720).cast("double").alias("x"), F.floor(F.col("y") / 720).cast("double").alias("y")), tile_rows=64)
 
 
 @query("navigation_step", f"""WITH {MAP_POINTS_SQL}, st AS ({_brute('z AS (SELECT 1)', 'mp', 'AND a.media_id = 7').replace('z AS (SELECT 1), v AS', 'WITH v AS')})

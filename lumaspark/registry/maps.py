@@ -18,6 +18,7 @@ from lumaspark.registry.layout import _FOLDERS_SQL
 from lumaspark.registry.vectors import (
     _BOTH_SQL, SCORED, VEC, _cache, _size_model, query_vector,
 )
+from lumaspark.operators.spread import overlap_degree
 from lumaspark.session import checkpoint_dir, materialize
 from lumaspark.sources import cache, sessions
 from lumaspark.sources.media import catalogue_from_tree
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 # Fixed start of the k-means checks.
 START = ((0.1, 0.1), (-0.1, 0.1), (0.1, -0.1), (-0.1, -0.1), (0.0, 0.2))
-ROUNDS = 5
+ROUNDS = 60  # as many as the operator takes at most; past the fixed point a round changes nothing
 
 
 def kmeans_sql(rounds: int = ROUNDS, start: str | None = None) -> str:
@@ -47,10 +48,10 @@ def kmeans_sql(rounds: int = ROUNDS, start: str | None = None) -> str:
     values = ", ".join(f"({j}, {x}::DOUBLE, {y}::DOUBLE)" for j, (x, y) in enumerate(START))
     parts = [POINTS_SQL, f"c0(j, cx, cy) AS ({start or 'VALUES ' + values})"]
     for r in range(rounds):
-        parts.append(f"l{r} AS (SELECT media_id, x, y, arg_min(j, ((x - cx) * (x - cx) + (y - cy) * (y - cy), j)) AS cluster FROM pts, c{r} GROUP BY ALL)")
+        parts.append(f"l{r} AS MATERIALIZED (SELECT media_id, x, y, arg_min(j, ((x - cx) * (x - cx) + (y - cy) * (y - cy), j)) AS cluster FROM pts, c{r} GROUP BY ALL)")
         if r < rounds - 1:
             parts.append(f"m{r} AS (SELECT cluster, avg(x) AS mx, avg(y) AS my FROM l{r} GROUP BY cluster)")
-            parts.append(f"c{r + 1} AS (SELECT j, coalesce(mx, cx) AS cx, coalesce(my, cy) AS cy FROM c{r} LEFT JOIN m{r} ON cluster = j)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT j, coalesce(mx, cx) AS cx, coalesce(my, cy) AS cy FROM c{r} LEFT JOIN m{r} ON cluster = j)")
     return ", ".join(parts)
 
 
@@ -86,17 +87,22 @@ _SAMPLED = """SELECT row_number() OVER (ORDER BY h, media_id) - 1 AS j, x AS cx,
   QUALIFY j < (SELECT least(8, greatest(2, ceil(sqrt(count(*) / 2.0::DOUBLE)))) FROM pts)"""
 
 
-@query("kmeans_sampled_start", f"WITH {kmeans_sql(6, _SAMPLED)} SELECT media_id, CAST(cluster AS INTEGER) AS cluster FROM l5")
+@query("kmeans_sampled_start", f"WITH {kmeans_sql(ROUNDS, _SAMPLED)} SELECT media_id, CAST(cluster AS INTEGER) AS cluster FROM l{ROUNDS - 1}")
 def kmeans_sampled_start(spark, sf):
     p = points(spark, sf)
-    return cluster.kmeans(p, cluster.choose_k(p.count()), max_iter=6, seed=1)[0].select("media_id", "cluster")
+    return cluster.kmeans(p, cluster.choose_k(p.count()), seed=1)[0].select("media_id", "cluster")
 
 
-@query("kmeans_converged")
+@query("kmeans_converged", f"""WITH {KM}, m AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM km GROUP BY cluster), d AS (SELECT media_id, km.cluster, m.cluster AS other,
+  (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM km, m) SELECT media_id, CAST(any_value(cluster) AS INTEGER) AS cluster,
+  TRUE AS nearest FROM d GROUP BY media_id""")
 def kmeans_converged(spark, sf):
-    """k-means by its own stopping rule; the queries above stop after the rounds of their SQL."""
-    p = points(spark, sf)
-    return cluster.kmeans(p, cluster.choose_k(p.count()), seed=1)[0].select("media_id", "cluster")
+    """The fixed point: labels, and whether each point's cluster is that of the nearest mean of the clusters."""
+    got = materialize(_labels(spark, sf).select("media_id", "x", "y", "cluster"))
+    means = [(r["cluster"], r["x"], r["y"]) for r in got.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("cluster").collect()]
+    d = F.array(*((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) for _, x, y in means))
+    own = F.get(d, F.array_position(F.array(*(F.lit(j) for j, _, _ in means)), F.col("cluster")).cast("int") - 1)
+    return got.select("media_id", "cluster", (own <= F.array_min(d) + 1e-9).alias("nearest"))
 
 
 @query("cluster_count", """WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
@@ -140,6 +146,22 @@ query("projection_umap")(_projected("UMAP"))
 query("projection_trimap")(_projected("TriMap"))
 
 
+@query("projections_kept", "SELECT unnest(['TSNE', 'UMAP']) AS method, (SELECT count(*) FROM embeddings) AS n, TRUE AS better")
+def projections_kept(spark, sf):
+    """Whether a map keeps more of the ten nearest neighbours of each vector than its start, the principal components, does."""
+    v = vectors(spark, sf).select("media_id", "vector")
+    near = materialize(knn_graph(v, 10, metric="euclidean").select("src", "dst"))
+
+    def kept(method):
+        places = materialize(project(v, method).select("media_id", F.array("x", "y").alias("vector")))
+        found = knn_graph(places, 10, metric="euclidean").select("src", "dst")
+        return places.count(), found.join(near, ["src", "dst"]).count()
+
+    _, start = kept("PCA")
+    rows = [(method, *kept(method)) for method in ("TSNE", "UMAP")]
+    return v.sparkSession.createDataFrame([(m, n, hits > start) for m, n, hits in rows], "method string, n long, better boolean")
+
+
 @query("projection_variance", f"""WITH {VEC}, e AS (SELECT media_id, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM vec),
 m AS (SELECT i, avg(x) AS m FROM e GROUP BY i), c AS (SELECT media_id, e.i, x - m AS x FROM e JOIN m ON m.i = e.i)
 SELECT round(sum(x * x) / (SELECT count(*) FROM vec), 6) AS total_variance FROM c""")
@@ -227,6 +249,13 @@ def viewer_map_spread(spark, sf):
     return m.items.select("media_id", "ord", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query("viewer_map_apart", f"WITH {CATALOGUE_SQL}, {MEDIA_SQL} SELECT count(*) AS n_items, 0::BIGINT AS n_overlapping FROM media")
+def viewer_map_apart(spark, sf):
+    """How many items of the whole viewer job still overlap another one."""
+    items = materialize(plans.build_viewer(media(spark, sf)).items.select("media_id", "x", "y"))
+    return overlap_degree(items).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("n_close") > 0).alias("n_overlapping"))
+
+
 def _built(spark, sf):
     return plans.build_map(media(spark, sf), spark.createDataFrame([], "model string, cache_key string, vector array<float>"),
                            "nomic", _size_model)
