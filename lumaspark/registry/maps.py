@@ -21,7 +21,7 @@ from lumaspark.registry.vectors import (
 from lumaspark.operators.spread import overlap_degree
 from lumaspark.session import checkpoint_dir, materialize
 from lumaspark.sources import cache, sessions
-from lumaspark.sources.media import catalogue_from_tree
+from lumaspark.sources.media import _file_system, catalogue_from_tree, scan_media
 from lumaspark.streaming import media as streams
 from lumaspark.streaming.media import debounce
 
@@ -432,3 +432,52 @@ def compacted_cache(spark, sf):
     small.put(materialize(stale), 7, "other", put_at=1)  # older than what was compacted
     streams.embed_batch(small, "", _size_model, writer="stream")(batch, batch_id + 1)
     return _cached(small)
+
+
+# ---- files on disk: each page is a file, some below folders that a listing may hide -----------------
+
+_PAGE_NAME = {0: ("_a/_p", ".jpg"), 1: ("b/p", ".png"), 2: ("b/.h/p", ".jpg"), 3: ("c/d/p", ".TXT"), 4: ("_q", ".mp4")}
+_PAGE_FILES_SQL = "SELECT CASE page_id % 5 " + " ".join(f"WHEN {k} THEN '{a}' || page_id || '{b}'" for k, (a, b) in _PAGE_NAME.items()) + """ END AS name,
+  strlen(html) AS size, md5(html) AS digest FROM pages WHERE page_id % 5 NOT IN (2, 3)"""
+
+
+def _page_files(spark, sf):
+    name = F.lit(None).cast("string")
+    for k, (a, b) in _PAGE_NAME.items():
+        name = F.when(F.col("page_id") % 5 == k, F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b))).otherwise(name)
+    return table(spark, sf, "pages").select("page_id", name.alias("name"), F.encode("html", "utf-8").alias("content"))
+
+
+def _write_files(files, root: str) -> None:
+    """Writes (name, content) as files, from the tasks that hold them."""
+    def write(batches):
+        fs, top = _file_system(root)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                fs.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
+                    out.write(content)
+            yield pdf[["name"]]
+
+    files.select("name", "content").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query("scanned_files", _PAGE_FILES_SQL)
+def scanned_files(spark, sf):
+    """A folder tree of files, scanned with their bytes."""
+    root = f"{_scratch(spark)}/tree"
+    _write_files(_page_files(spark, sf), root)
+    return scan_media(spark, root, with_content=True).select("name", "size", F.md5("content").alias("digest"))
+
+
+@query("streamed_files", _PAGE_FILES_SQL)
+def streamed_files(spark, sf):
+    """The same tree as a stream: a part of the files, then the rest, in runs of one checkpoint."""
+    out = _scratch(spark)
+    pages = _page_files(spark, sf)
+    for part in (F.col("page_id") % 3 == 0, F.col("page_id") % 3 != 0):
+        _write_files(pages.where(part), f"{out}/tree")
+        files = streams.stream_media(spark, f"{out}/tree", with_content=True, log=f"{out}/log").select("name", "size", F.md5("content").alias("digest"))
+        files.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema("name string, size long, digest string").parquet(f"{out}/rows")

@@ -18,14 +18,17 @@ def _below(path: Column, root: str) -> Column:
 
 
 def scan_media(
-    spark: SparkSession, root: str, base_path: str = "", exts=MEDIA_EXTS, with_content: bool = False
+    spark: SparkSession, root: str, base_path: str = "", exts=MEDIA_EXTS, with_content: bool = False, lister: str = "walk"
 ) -> DataFrame:
     """Media files below a folder, hidden files and hidden folders left out.
 
-    File bytes are read only when asked for; ``read_content`` reads them later for chosen rows.
-    Spark lists no name that starts with an underscore; ``walk_media`` does.
+    File bytes are read only when asked for; ``read_content`` reads them later for chosen rows. ``lister="spark"`` is for file
+    systems that only Spark can open: its listing leaves out names that start with an underscore.
     """
     root = root.rstrip("/")
+    if lister == "walk":
+        files = walk_media(spark, root, base_path, exts)
+        return read_content(files, root) if with_content else files
     start = f"{root}/{base_path.strip('/')}" if base_path.strip("/") else root
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(start)
     files = raw.select(
@@ -44,7 +47,7 @@ def _file_system(path: str):
 
 
 def walk_media(spark: SparkSession, root: str, base_path: str = "", exts=MEDIA_EXTS) -> DataFrame:
-    """As ``scan_media``, by a walk that hides no name but those that start with a dot: the
+    """Media files below a folder, by a walk that hides no name but those that start with a dot: the
     folders of a level are listed by tasks, and each level is a written table. For file systems
     that pyarrow can open."""
     root = root.rstrip("/")

@@ -21,15 +21,25 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 
 
 def stream_media(spark: SparkSession, root: str, exts=MEDIA_EXTS, with_content: bool = False,
-                 files_per_batch: int | None = None) -> DataFrame:
-    """Catalogue rows of files as they appear below a folder."""
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.load(root).select(
-        _below(F.col("path"), root).alias("name"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("last_modified"), *(["content"] if with_content else []),
-    )
+                 files_per_batch: int | None = None, log: str | None = None) -> DataFrame:
+    """Catalogue rows of files as they appear below a folder.
+
+    With ``log``, a folder beside the checkpoint, the tree is listed as ``walk_media`` does it, names that
+    start with an underscore included. Without one Spark lists, which hides these.
+    """
+    if log is not None:
+        from lumaspark.streaming.folders import FolderSource
+
+        spark.dataSource.register(FolderSource)
+        rows = spark.readStream.format("media_folder").option("log", log).option("content", str(with_content).lower()).load(root)
+    else:
+        reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        rows = reader.load(root).select(
+            _below(F.col("path"), root).alias("name"), F.col("length").alias("size"),
+            F.col("modificationTime").alias("last_modified"), *(["content"] if with_content else []),
+        )
     return rows.where(is_media("name", exts) & ~is_hidden("name")).withColumn("media_id", F.xxhash64("name"))
 
 

@@ -384,3 +384,43 @@ def test_caches_from_before_records_are_taken_over(spark, tmp_path):
     assert store.read().count() == 1
     store.put(spark.createDataFrame([("", "b", vec(1))], cache.CACHE_SCHEMA), 1, "w")
     assert {r[1] for r in store.read().collect()} == {"a", "b"}
+
+
+def test_folder_stream_sees_each_file_once(spark, tmp_path):
+    root, seen = tmp_path / "m", []
+
+    def run():
+        files = streams.stream_media(spark, str(root), with_content=True, log=str(tmp_path / "log"))
+        files.writeStream.foreachBatch(lambda b, n: seen.append({(r["name"], bytes(r["content"])) for r in b.collect()})).option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        return {name for name, _ in seen[-1]}
+
+    tree(root, ("a.jpg", "_b.png", "_d/c.mp4", ".h/g.jpg", "x.txt"))
+    assert run() == {"a.jpg", "_b.png", "_d/c.mp4"}
+    tree(root, ("_d/e/f.jpg",))
+    (root / "a.jpg").write_bytes(b"changed")
+    assert run() == {"_d/e/f.jpg", "a.jpg"} and ("a.jpg", b"changed") in seen[-1]
+    assert all(bytes(c) == (root / n).read_bytes() for n, c in seen[-1])
+
+
+def test_rounds_on_moving_tiles_are_the_same(spark):
+    from lumaspark.operators import spread
+
+    pts = spark.range(300).selectExpr("id AS media_id", "CAST(id % 20 AS DOUBLE) * CASE WHEN id % 20 < 5 THEN 30 ELSE 200 END AS x", "CAST(id DIV 20 AS DOUBLE) * CASE WHEN id % 20 < 5 THEN 30 ELSE 200 END AS y")
+    stacks = spread.to_stacks(pts).withColumn("deg", F.lit(0).cast("bigint"))
+    for _ in range(3):
+        after = spread.materialize(spread.one_round(stacks, 300.0))
+        some = after.where("deg > 0")
+        whole, part = ({r["gid"]: (round(r["px"], 9), round(r["py"], 9), r["deg"]) for r in spread.overlap_pushes(after, side, rows, moving).collect()}
+                       for side, rows, moving in ((300.0, 4096, None), (400.0, 8, some)))
+        assert whole == part and 0 < some.count() < 300
+        stacks = after
+
+
+def test_large_samples_are_those_of_the_order(spark):
+    from lumaspark.operators.sampling import sample_n, sample_order
+
+    df = spark.range(30_000).withColumnRenamed("id", "media_id")
+    order = [r["media_id"] for r in df.orderBy(sample_order("media_id", 3), "media_id").collect()]
+    for n in (900, 1_500, 12_000, 29_999, 40_000):
+        assert {r["media_id"] for r in sample_n(df, n, 3).collect()} == set(order[:n])
