@@ -56,14 +56,22 @@ class TokenIds:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain
+        self._load, self._tokenizer = lambda: Tokenizer.from_file(path), None
+        self.plain = plain
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ranks = ranks
 
+    @property
+    def tokenizer(self):
+        """The tokenizer itself, loaded when it is needed."""
+        if self._tokenizer is None:
+            self._tokenizer = self._load()
+            self._tokenizer.encode_special_tokens = self.plain
+        return self._tokenizer
+
     def listed(self, text: str) -> list[int]:
         if any(s in text for s in self.special) or (len(text) > LONG_BLANK and _BLANK.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids

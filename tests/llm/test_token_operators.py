@@ -152,6 +152,17 @@ def test_alignment_against_contract(spark, edges):
     assert token_alignment.aligned_documents(edges.limit(0)).count() == 0
 
 
+def test_alignment_forgets_stretches(spark, monkeypatch):
+    docs = texts()[:40]
+    aligner = token_alignment.Aligner(*token_alignment.default_tokenizers())
+    whole = [token_alignment._block(aligner, docs, 0).to_pydict()["docs"][0]]
+    monkeypatch.setattr(token_alignment, "KNOWN_STRETCHES", 100)
+    for _ in range(3):
+        whole += [token_alignment._block(aligner, docs, 0).to_pydict()["docs"][0]]
+        assert len(aligner.known) <= 50
+    assert all(w == whole[0] for w in whole)
+
+
 def test_jumps_reach_the_last_token():
     a, b = np.array([2, 5, 6, 9, 14]), np.array([1, 3, 5, 8, 13, 14])
     assert token_alignment.terminals(a, b).tolist() == [1, 1, 4, 4, 4, 1, 1, 1, 4, 4, 4]
