@@ -164,6 +164,7 @@ def _fragments(spark, sf):
     return catalogue(spark, sf).select("media_id", F.get(kinds, F.pmod("media_id", F.lit(8)).cast("int")).alias("fragment"))
 
 
+# Fixed value: the form of a time in a view state
 _DT_RE = r"^#dt:(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}))?(?::(\d{2}))?$"
 
 
@@ -319,7 +320,7 @@ _ASSET_SQL = f"""{CAT}, files AS (SELECT media_id AS ord, CASE WHEN media_id % 9
 asked AS (SELECT media_id, 'https://h.example/org/repo/resolve/main/' || CASE media_id % 5
    WHEN 0 THEN name WHEN 1 THEN split_part(name, '/', 2) || '/' || split_part(name, '/', 3) WHEN 2 THEN {BASE_SQL}
    WHEN 3 THEN 'other/' || {BASE_SQL} ELSE 'missing.bin' END || CASE WHEN media_id % 2 = 0 THEN '?download=1#top' ELSE '' END AS url FROM cat),
-want AS (SELECT media_id, ltrim(regexp_replace(regexp_replace(url, '^.*/resolve/[^/]+/', ''), '[?#].*$', ''), '/') AS w FROM asked),
+want AS (SELECT media_id, regexp_extract(url, '^(?:.*/resolve/[^/]+/)?/*([^?#]*)', 1) AS w FROM asked),
 clean AS (SELECT ord, ltrim(rel_path, '/') AS rel FROM files),
 cand AS (SELECT media_id, rel, CASE WHEN rel = w THEN 0 WHEN ends_with(rel, '/' || w) THEN 1 ELSE 2 END AS kind, ord
   FROM want JOIN clean ON split_part(rel, '/', -1) = split_part(w, '/', -1)),
@@ -347,8 +348,15 @@ _MESSAGE_SQL = """CASE event_id % 10 WHEN 0 THEN 'Failed to fetch' WHEN 1 THEN '
   WHEN 8 THEN 'getaddrinfo ENOTFOUND' ELSE NULL END"""
 
 
+# Words and status codes that tell a failed download
+_ERROR_WORDS = ("download failed", "failed to fetch", "load failed", "network error", "networkerror", "could not locate", "unauthorized", "err_", "http error",
+                "status 4", "status 5", "getaddrinfo", "enotfound")
+_ERROR_CODES = ("403", "404", "429", "500", "502", "503", "504")
+
+
 @query("download_errors", f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'AbortError' ELSE 'Error' END AS name, {_MESSAGE_SQL} AS m FROM events)
-SELECT event_id, name <> 'AbortError' AND regexp_matches(lower(coalesce(m, '')), 'download failed|failed to fetch|load failed|network ?error|could not locate|unauthorized|err_|http error|status (4|5)\\d\\d|getaddrinfo|enotfound|\\b(403|404|429|500|502|503|504)\\b') AS is_download_error FROM e""")
+SELECT event_id, name <> 'AbortError' AND m IS NOT NULL AND (""" + " OR ".join(f"contains(lower(m), '{w}')" for w in _ERROR_WORDS) + f"""
+  OR list_has_any(string_split(m, ' '), {list(_ERROR_CODES)})) AS is_download_error FROM e""")
 def download_errors(spark, sf):
     u, r = F.col("user_id"), F.col("event_id") % 10
     msg = (

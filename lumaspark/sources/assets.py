@@ -35,11 +35,12 @@ def manifest_urls(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def wanted_path(url) -> Column:
-    """Path asked for: after /resolve/<rev>/, with no query, fragment or leading slash."""
-    c = F.col(url) if isinstance(url, str) else url
-    after = F.regexp_replace(c, r"^.*/resolve/[^/]+/", "")
-    return F.regexp_replace(F.regexp_replace(after, r"[?#].*$", ""), r"^/+", "")
+_IN_REPO = r"^(?:.*/resolve/[^/]+/)?/*([^?#]*)"
+
+
+def file_in_repo(url: str | Column) -> Column:
+    """The file that a request names: what stands between the revision and a query or fragment."""
+    return F.regexp_extract(F.col(url) if isinstance(url, str) else url, _IN_REPO, 1)
 
 
 def _first_by(files: DataFrame, key: Column, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ def resolve_assets(requests: DataFrame, files: DataFrame, url: str = "url", firs
     exact = _first_by(files, F.col("rel_path"), "_exact")
     suffix = _first_by(files.withColumn("_t", F.explode(tails)), F.col("_t"), "_suffix")
     base = _first_by(files, F.element_at(parts, -1), "_base")
-    want = wanted_path(url)
+    want = file_in_repo(url)
     asked = requests.withColumn("_want", want).withColumn("_name", F.substring_index(want, "/", -1))
     joined = (
         asked.join(exact.withColumnRenamed("_k", "_want"), "_want", "left")
