@@ -133,7 +133,7 @@ def clusters(spark):
     return m, np.repeat(range(4), 25), df
 
 
-OPTIONS = {"TSNE": {"epochs": 5}, "UMAP": {"epochs": 5}, "TriMap": {"epochs": 4, "inliers": 4, "outliers": 3},
+OPTIONS = {"TSNE": {"epochs": 40}, "TriMap": {"epochs": 4, "inliers": 4, "outliers": 3},
            "LLE": {"tolerance": 0.1}, "ISOMAP": {"landmarks": 12}, "SAMMON": {"steps": 40}}
 
 
