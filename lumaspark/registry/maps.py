@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumaspark.functions.keys import path_key
 from lumaspark.operators import cluster, embed, layout, search, summary
-from lumaspark.operators.knn import knn_graph
+from lumaspark.operators.knn import knn_graph, neighbour_count
 from lumaspark.operators.project import graph, linear, project
 from lumaspark.plans import maps as plans
 from lumaspark.registry.data import (
@@ -203,6 +203,22 @@ def reconstruction_weight_sums(spark, sf):
     return w.groupBy(F.col("src").alias("media_id")).agg(F.round(F.sum("w"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+@query("lle_eigenpairs", "SELECT unnest([0, 1]) AS axis, (SELECT count(*) FROM embeddings) AS n, TRUE AS settled, TRUE AS unit")
+def lle_eigenpairs(spark, sf):
+    """Whether the two columns of locally linear embedding are eigenvectors: the residual of a product taken anew is below 1e-4."""
+    rows = materialize(vectors(spark, sf).selectExpr("media_id", "cast(vector AS array<double>) AS vector"))
+    n = rows.count()
+    w = materialize(graph.reconstruction_weights(rows, neighbour_count(n)))
+    plane, values, _ = graph.flattest(rows.select("media_id"), w, n)
+    plane = materialize(plane)
+    again = graph.unexplained(w)(plane, ["v0", "v1"]).withColumnsRenamed({"v0": "m0", "v1": "m1"})
+    both = plane.join(again, "media_id")
+    parts = [both.agg(F.lit(i).alias("axis"), F.count(F.lit(1)).alias("n"),
+                      (F.sqrt(F.sum(F.pow(F.col(f"m{i}") - F.col(f"v{i}") * float(values[i]), F.lit(2)))) < 1e-4).alias("settled"),
+                      (F.abs(F.sum(F.col(f"v{i}") * F.col(f"v{i}")) - 1) < 1e-6).alias("unit")) for i in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- sessions -------------------------------------------------------------------------
 
 _SESSION = f"""keys AS (SELECT media_id, name, size, last_modified, {PATH_KEY_SQL} AS file_key FROM cat),

@@ -89,25 +89,71 @@ def stream_embed(stream: DataFrame, cache: StoredCache, model: str, infer: Calla
     )
 
 
+_GROWTH = "n long, last_count long, refreshes int, map string"
+
+
 class ProgressiveMap:
     """Map that grows with a stream: a plain grid below ``minimum`` vectors, then a fresh
-    linear projection once ``interval`` new vectors came in. Use as ``then`` of
-    ``stream_embed``; ``points`` holds the last map."""
+    linear projection once ``interval`` new vectors came in. Use as ``then`` of ``stream_embed``.
+
+    Everything lies below ``path``: per batch its vectors, and a record of how many ids there are, how many the last
+    projection had, and where the present map is written. The record comes last and says that the batch is done: another driver
+    goes on from it, and a batch that comes again changes nothing. New ids are counted from the batch, not by counting all again.
+    Batches of one stream come in order; each stream needs a path of its own.
+    """
 
     def __init__(self, path: str, minimum: int = 3, interval: int = 3, total: int | None = None, max_rounds: int = MAX_ROUNDS):
         self.path, self.minimum, self.interval = path.rstrip("/"), minimum, interval
         self.total, self.max_rounds = total, max_rounds
-        self.last_count, self.refreshes, self.points = 0, 0, None
+
+    def _growth(self, spark: SparkSession, before: int | None = None):
+        """The newest record, of batches before a number if one is given."""
+        if not _exists(spark, f"{self.path}/growth"):
+            return None
+        rows = spark.read.schema(f"{_GROWTH}, batch long").parquet(f"{self.path}/growth")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        return rows.orderBy(F.desc("batch")).first()
+
+    @property
+    def refreshes(self) -> int:
+        last = self._growth(SparkSession.active())
+        return last["refreshes"] if last else 0
+
+    @property
+    def points(self) -> DataFrame | None:
+        """The last map: (media_id, x, y)."""
+        spark = SparkSession.active()
+        last = self._growth(spark)
+        return spark.read.parquet(f"{self.path}/maps/{last['map']}") if last and last["map"] else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.select("media_id", "vector").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        seen = batch.sparkSession.read.parquet(self.path).groupBy("media_id").agg(F.max_by("vector", "batch").alias("vector"))
-        n = seen.count()
+        spark = batch.sparkSession
+        if _exists(spark, f"{self.path}/growth/batch={batch_id}/_SUCCESS"):
+            return
+        last = self._growth(spark, batch_id)
+        batch.select("media_id", "vector").write.mode("overwrite").parquet(f"{self.path}/vectors/batch={batch_id}")
+        rows = spark.read.schema("media_id long, vector array<float>, batch long").parquet(f"{self.path}/vectors").where(F.col("batch") <= batch_id)
+        now = rows.where(F.col("batch") == batch_id).select("media_id").distinct()
+        earlier = rows.where(F.col("batch") < batch_id).select("media_id")
+        n = (last["n"] if last else 0) + now.join(earlier, "media_id", "left_anti").count()
+        seen = rows.groupBy("media_id").agg(F.max_by("vector", "batch").alias("vector"))
+        shown, refreshes, name = (last["last_count"], last["refreshes"], last["map"]) if last else (0, 0, None)
+        fresh = None
         if n < self.minimum:
-            self.points = grid_layout(seen.select("media_id"), self.total or n)
-        elif n - self.last_count >= self.interval:
-            self.last_count, self.refreshes = n, self.refreshes + 1
-            self.points = spread(project(seen, "PCA"), max_rounds=self.max_rounds)
+            fresh = grid_layout(seen.select("media_id"), self.total or n)
+        elif n - shown >= self.interval:
+            shown, refreshes = n, refreshes + 1
+            fresh = spread(project(seen, "PCA"), max_rounds=self.max_rounds)
+        if fresh is not None:
+            name = f"map-{batch_id}"
+            fresh.write.mode("overwrite").parquet(f"{self.path}/maps/{name}")
+        record = spark.createDataFrame([(n, shown, refreshes, name)], _GROWTH)
+        record.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/growth/batch={batch_id}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def debounce_stream(events: DataFrame, keys: list[str], ts: str, value: str, gap: str = "300 milliseconds",

@@ -134,7 +134,7 @@ def clusters(spark):
 
 
 OPTIONS = {"TSNE": {"epochs": 40}, "TriMap": {"epochs": 4, "inliers": 4, "outliers": 3},
-           "LLE": {"tolerance": 0.1}, "ISOMAP": {"landmarks": 12}, "SAMMON": {"steps": 40}}
+           "LLE": {"tolerance": 0.1}, "SAMMON": {"steps": 40}}
 
 
 def agreement(y, labels, k=5):
@@ -149,7 +149,7 @@ def test_projection_keeps_neighbourhoods(spark, clusters, method):
     out = project(df, method, **OPTIONS.get(method, {})).toPandas().sort_values("media_id")
     y = out[["x", "y"]].to_numpy()
     assert len(y) == 100 and np.isfinite(y).all() and y.std() > 0
-    if method != "LLE":  # its few test iterations only prove that it runs; see the weight test
+    if method != "LLE":  # its few test iterations only prove that it runs; see the eigenvector test
         assert agreement(y, labels) > 0.8
 
 
@@ -172,6 +172,66 @@ def test_geodesics_and_weights(spark):
     assert w[0, 1] == pytest.approx(0.5, abs=1e-6) and w[0, 2] == pytest.approx(0.5, abs=1e-6)
 
 
+def floyd(edges, n):
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, w in edges:
+        d[a, b] = min(d[a, b], w)
+    for k in range(n):
+        d = np.minimum(d, d[:, k:k + 1] + d[k:k + 1])
+    return d
+
+
+def rolled(n, rng):
+    t, h = 4 + 9 * rng.random(n), 12 * rng.random(n)
+    return np.stack([t * np.cos(t), h, t * np.sin(t)], 1)
+
+
+@pytest.mark.parametrize("reach", [None, 0.05, 1000.0])
+def test_path_lengths_equal_all_pairs(spark, reach):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 80, 150), rng.integers(0, 80, 150), np.round(rng.random(150), 2)) if a != b]
+    edges = graph.both_ways(spark.createDataFrame(pairs, "src long, dst long, dist double")).cache()
+    want = floyd([(r["src"], r["dst"], r["dist"]) for r in edges.collect()], 80)
+    got = {(r["s"], r["media_id"]): r["d"] for r in graph.path_lengths(edges, [5, 17, 40], reach).collect()}
+    assert set(got) == {(s, i) for s, src in enumerate((5, 17, 40)) for i in range(80) if np.isfinite(want[src, i])}
+    assert all(d == pytest.approx(want[(5, 17, 40)[s], i]) for (s, i), d in got.items())
+
+
+def test_isomap_unrolls_and_keeps_exact_distances(spark):
+    m = rolled(400, np.random.default_rng(5))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "media_id long, vector array<double>")
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    near = [(i, int(j), float(d[i, j])) for i in range(400) for j in np.argsort(d[i], kind="stable")[1:11]]
+    exact = floyd(near + [(b, a, w) for a, b, w in near], 400)
+    got = graph.isomap(df, 10).toPandas().sort_values("media_id")[["x", "y"]].to_numpy()
+    placed = np.sqrt(((got[:, None] - got[None]) ** 2).sum(2))
+    assert np.isfinite(exact).all()
+    assert np.sqrt(((placed - exact) ** 2).sum() / (exact ** 2).sum()) < 0.12  # stress against the exact path lengths
+    assert graph.landmark_count(20) == 20 and graph.landmark_count(1000) == 32 and graph.landmark_count(10 ** 6) == 200
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], df.schema)
+    assert graph.far_apart(same, 4) == [0]
+    flat = graph.isomap(same, 2).toPandas()
+    assert len(flat) == 6 and np.isfinite(flat[["x", "y"]].to_numpy()).all()
+
+
+def test_lle_finds_the_smallest_eigenvectors(spark):
+    m = np.random.default_rng(6).normal(size=(50, 24))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "media_id long, vector array<double>").cache()
+    w = graph.reconstruction_weights(df, 10).cache()
+    dense = np.eye(50)
+    for r in w.collect():
+        dense[r["src"], r["dst"]] -= r["w"]
+    values, vecs = np.linalg.eigh(dense.T @ dense)
+    plane, found, residual = graph.flattest(df.select("media_id"), w, 50, tolerance=2e-3)
+    got = plane.toPandas().sort_values("media_id")[["v0", "v1"]].to_numpy()
+    assert found == pytest.approx(values[1:3], rel=1e-3) and residual.max() <= 2e-3
+    assert got.T @ got == pytest.approx(np.eye(2), abs=1e-9) and got.sum(0) == pytest.approx([0, 0], abs=1e-9)
+    assert np.linalg.norm((dense.T @ dense) @ got - got * found, axis=0) == pytest.approx(residual, abs=1e-9)
+    three = spark.createDataFrame([(i, [float(i * i)]) for i in range(3)], df.schema)
+    assert np.isfinite(graph.lle(three, 2).toPandas().to_numpy()).all()
+
+
 def test_affinities_and_fuzzy_union(spark, clusters):
     _, _, df = clusters
     p = forces.affinities(df, 100, 10)
@@ -262,6 +322,27 @@ def test_stream_embeds_new_files_and_refreshes_the_map(spark, tmp_path):
     assert store.read().count() == 4 and progress.refreshes == 1 and progress.points.count() == 4
 
 
+def test_the_map_of_a_stream_outlives_its_driver(spark, tmp_path):
+    def batch(*ids):
+        return spark.createDataFrame([(i, vec(i % 5, i % 3, 1)) for i in ids], "media_id long, vector array<float>")
+
+    def grow(batch_id, *ids):  # each batch by a driver of its own
+        streams.ProgressiveMap(str(tmp_path / "seen"), max_rounds=1)(batch(*ids), batch_id)
+        now = streams.ProgressiveMap(str(tmp_path / "seen"))
+        return now.refreshes, {r["media_id"] for r in now.points.collect()}
+
+    new = streams.ProgressiveMap(str(tmp_path / "seen"))
+    assert new.refreshes == 0 and new.points is None
+    assert grow(0, 1, 2) == (0, {1, 2})
+    assert grow(1, 2, 3, 4) == (1, {1, 2, 3, 4})
+    assert grow(2, 4, 5, 6) == (1, {1, 2, 3, 4})  # two new ids, one less than the interval
+    assert grow(2, 4, 5, 6) == (1, {1, 2, 3, 4})  # the same batch again
+    assert grow(3, 7) == (2, {1, 2, 3, 4, 5, 6, 7})
+    assert grow(1, 2, 3, 4) == (2, {1, 2, 3, 4, 5, 6, 7})
+    before = streams.ProgressiveMap(str(tmp_path / "seen"))._growth(spark, 3)
+    assert (before["n"], before["last_count"], before["refreshes"]) == (6, 4, 1)
+
+
 def test_debounce_stream(spark, tmp_path):
     rows = [("u", 0, "a"), ("u", 100, "ab"), ("v", 0, "x"), ("v", 400, " "), ("w", 0, "q")]
     df = spark.createDataFrame([(k, datetime(2024, 1, 1, 0, 0, ms // 1000, (ms % 1000) * 1000), v) for k, ms, v in rows],
