@@ -115,6 +115,27 @@ def test_knn_with_copies(spark, metric, limit):
         assert [r["dst"] for r in sorted((r for r in got if r["src"] == i), key=lambda r: r["rank"])] == want, i
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_knn_of_many_vectors_goes_to_no_task_whole(spark, monkeypatch, metric):
+    """Blocks that all vectors stream past, with ties, a zero vector and several batches, give what all vectors at once give."""
+    c = RNG.integers(0, 3, size=(1_500, 4)).astype(float)
+    c[5] = 0
+    few = {tuple(r) for r in knn.knn_graph(vec_df(spark, c), 6, metric).collect()}
+
+    def never(*args, **options):
+        raise AssertionError("all vectors in one task")
+
+    monkeypatch.setattr(knn, "_euclidean_reps", never)
+    monkeypatch.setattr(knn, "search_many", never)
+    assert {tuple(r) for r in knn.knn_graph(vec_df(spark, c), 6, metric, broadcast_bytes=1_000, block_rows=30).collect()} == few
+    wide = RNG.normal(size=(1_200, 512))  # more than FEW_BYTES
+    assert knn.knn_graph(vec_df(spark, wide), 3, metric).count() == 3_600
+
+
+def test_all_pairs_until_descent_takes_less_time(spark):
+    assert knn.DENSE * knn.comparisons(15) > 700_000
+
+
 def test_block_join_meets_every_pair_once(spark):
     import pandas as pd
 
