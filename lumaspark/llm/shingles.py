@@ -1,14 +1,17 @@
-"""Near copies by their shared shingles: candidates from bands of minhashes, links from the shingles themselves.
+"""Near copies by their shared shingles: candidates from an index of fingerprints and, beyond its reach, from bands of
+minhashes; links from the shingles themselves.
 
 A text is the multiset of its word shingles: the n-th repeat of one is an element of its own, so the
-similarity of multisets is that of sets. BANDS keys of ROWS minhashes each are made per text; two texts
-are candidates where a key is equal. Texts of similarity s miss each other with (1 - s ** ROWS) ** BANDS:
-7 in 100,000 at 0.8, fewer above. A link counts only if the shingles of both texts, told apart by
-64 bits of hash, have the least similarity, so that no text goes for a likeness below it.
+similarity of multisets is that of sets. Candidates are what the index of SimHash fingerprints (``simhash.BitIndex``) finds.
+Fingerprints scatter, so those of some texts of the least similarity lie farther apart than an index can look: beside it,
+BANDS keys of ROWS minhashes each are made per text, and two texts are candidates where a key is equal. Texts of similarity
+s miss each other there with (1 - s ** ROWS) ** BANDS: 7 in 100,000 at 0.8, fewer above. A link counts only if the
+shingles of both texts, told apart by 64 bits of hash, have the least similarity, so that no text goes for a likeness below it.
 
 Links are found in two steps. First each bucket pairs its members with its smallest one, each pair once.
-Then buckets of three or more that still hold different components compare all their members, in blocks of
-a bounded number of texts, and return one link per merged component: no table of all pairs exists.
+Then the index looks up what lies within its distance in another component; and buckets of bands of three or more that
+still hold different components compare all their members, in blocks of a bounded number of texts, and return one link
+per merged component: no table of all pairs exists.
 
 Texts of equal words are one node. Null texts are empty; texts without words are one node.
 """
@@ -27,6 +30,7 @@ from lumaspark.llm.tables import Steps, small_batches, text_of
 SEED = 42
 BANDS, ROWS = 24, 5
 LEAST = (4, 5)  # similarity of a link as a fraction, so that it is compared in whole numbers
+WORDS = ["fp0", "fp1"]  # of the fingerprint
 BLOCK = 256  # texts of a bucket that meet as one side of a task
 
 _RNG = np.random.default_rng(7)
@@ -52,20 +56,40 @@ def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
 
 def elements(text: bytes, width: int) -> np.ndarray:
     """The multiset of shingles as different numbers."""
-    found = np.sort(shingle_hashes(text, width))
+    return numbered(shingle_hashes(text, width))
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as different numbers, each repeat one of its own."""
+    found = np.sort(hashes)
     starts = np.flatnonzero(np.diff(found, prepend=~found[:1]))
     nth = np.arange(len(found)) - np.repeat(starts, np.diff(starts, append=len(found)))
     return found + nth.astype(np.uint64) * _REPEAT
 
 
-def band_keys(found: np.ndarray) -> list[int]:
+def fingerprint(hashes: np.ndarray) -> int:
+    """Counts the set bits of each position, block by block, so long texts need little memory."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i:i + (1 << 14)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits: those of the hashes and those of the hashes mixed anew."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * _REPEAT
+    return fingerprint(hashes), fingerprint((mixed ^ (mixed >> np.uint64(29))) * _FACTORS[0])
+
+
+def band_keys(found: np.ndarray, bands: int = BANDS) -> list[int]:
     """A key per band, block by block, so long texts need little memory; none for a text without shingles."""
     if not len(found):
         return []
     least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
     for i in range(0, len(found), 1 << 11):
         np.minimum(least, ((found[i:i + (1 << 11)] ^ _FLIPS) * _FACTORS).min(1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), b) for b, band in enumerate(least.reshape(BANDS, ROWS))]
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), b) for b, band in enumerate(least.reshape(BANDS, ROWS)[:bands])]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -79,15 +103,15 @@ def _words_key(text: bytes) -> tuple[int, int]:
     return a, b
 
 
-def _sketches(width: int):
+def _sketches(width: int, bands: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column("body").to_pylist()
-            keys = [_words_key(t) for t in texts]
-            bands = pa.array([band_keys(elements(t, width)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), bands],
-                names=["doc_id", "k0", "k1", "bands"])
+            rows = []
+            for text in batch.column("body").to_pylist():
+                found = shingle_hashes(text, width)
+                rows.append((*_words_key(text), *wide_fingerprint(found), band_keys(numbered(found), bands)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64()] * 4 + [pa.list_(pa.int64())], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "k0", "k1", *WORDS, "bands"])
 
     return run
 
@@ -157,36 +181,54 @@ def _alike_members(width: int, least: tuple[int, int]):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                       least: tuple[int, int] = LEAST) -> DataFrame:
-    """One row per row of docs: doc_id and component_id, the smallest id reachable over links of the least similarity."""
+def similar_components(docs: DataFrame, index, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                       least: tuple[int, int] = LEAST, bands: int = BANDS) -> DataFrame:
+    """One row per row of docs: doc_id and component_id, the smallest id reachable over links of the least similarity.
+    ``index`` is a ``simhash.BitIndex`` over WORDS."""
     small_batches(docs.sparkSession)
     steps = Steps(docs.sparkSession, "shingles")
     bodies = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_of(text_col), "utf-8").alias("body"))
-    rows = steps.write(bodies.mapInArrow(_sketches(width), "doc_id long, k0 long, k1 long, bands array<long>"), "sketches")
-    nodes = rows.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    rows = steps.write(bodies.mapInArrow(_sketches(width, bands), "doc_id long, k0 long, k1 long, fp0 long, fp1 long, bands array<long>"), "sketches")
+    nodes = rows.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in (*WORDS, "bands"))).withColumn("node", F.monotonically_increasing_id())
     nodes = steps.write(nodes, "nodes")  # pins the numbers
 
     tables = nodes.select("node", F.explode("bands").alias("key"))
     buckets = tables.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter("m > 1")
     shared = steps.write(tables.join(buckets, "key"), "shared")
-    asked = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "k0", "k1")
-    texts = bodies.select("body").mapInArrow(_keyed, "k0 long, k1 long, body binary").join(asked, ["k0", "k1"])
-    texts = steps.write(texts.groupBy("node").agg(F.first("body").alias("body")), "texts")
-
-    pairs = shared.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a")
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b")
-    near = components(pairs.select("a", "b", "a_body", "b_body").mapInArrow(_alike_pairs(width, least), "a long, b long"), steps)
+    pairs = index.stars(nodes.select("node", *WORDS)).unionByName(shared.filter("a <> node").select("a", F.col("node").alias("b")))
+    pairs = steps.write(pairs.distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        asked = nodes.join(asked, "node", "left_semi").select("node", "k0", "k1")
+        found = bodies.select("body").mapInArrow(_keyed, "k0 long, k1 long, body binary").join(asked, ["k0", "k1"])
+        return steps.write(found.groupBy("node").agg(F.first("body").alias("body")), "texts")
+
+    def alike_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a")
+        pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b")
+        return pairs.select("a", "b", "a_body", "b_body").mapInArrow(_alike_pairs(width, least), "a long, b long")
+
+    texts = texts_of(ends.unionByName(shared.select("node")).distinct())
+    near = components(alike_of(pairs, texts), steps)
     known = steps.write(near.select("node", "root"), "known")
 
+    looked = index.lookups(nodes.select("node", *WORDS).join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    looked = steps.write(looked.distinct().join(pairs, ["a", "b"], "left_anti"), "looked")
+    fresh = steps.write(looked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node", "left_anti"), "fresh")
+    more = texts if fresh.isEmpty() else texts.unionByName(texts_of(fresh))
+    links = alike_of(looked.select("a", "b"), more)
+    for end in "ab":
+        links = links.join(known.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+
     rooted = shared.filter("m > 2").join(known, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     dealt = rooted.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)"))).filter("x <> y OR blocks = 1")
     dealt = dealt.select("node", "root", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(texts, "node")
     found = dealt.groupBy("key", "x", "y").applyInArrow(_alike_members(width, least), "a long, b long")
-    merged = components(found, steps).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    merged = components(found.unionByName(links), steps).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     tops = nodes.select("node", "k0", "k1", "low").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = steps.write(tops.join(merged, "root", "left").select("k0", "k1", "low", F.coalesce("top", "root").alias("root")), "tops")

@@ -28,21 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaspark.llm.components import components
-from lumaspark.llm.shingles import LEAST, SEED, shingle_hashes, similar_components
+from lumaspark.llm.shingles import BANDS, LEAST, SEED, WORDS, fingerprint, shingle_hashes, similar_components
 from lumaspark.llm.tables import Steps, small_batches, text_of
 
 SEEDS = (SEED, 43)  # one word of 64 bits each
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Counts the set bits of each position, block by block, so long texts need little memory."""
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i:i + (1 << 14)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
-
-
 def _prints(width: int, seeds: tuple[int, ...]):
     def run(batches):
         for batch in batches:
@@ -109,23 +100,44 @@ def _close(left: str, right: str, words: list[str], distance: int) -> Column:
     return sum(differing[1:], differing[0]) <= distance
 
 
+@dataclass(frozen=True)
+class BitIndex:
+    """A table per segment of the fingerprints of nodes (node, fp0, ...), numbers that differ for different nodes."""
+
+    words: list[str]
+    distance: int
+    plan: list[Segment]
+
+    def _homes(self) -> Column:
+        return F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), s.key().alias("key")) for i, s in enumerate(self.plan)))).alias("p")
+
+    def stars(self, nodes: DataFrame) -> DataFrame:
+        """(a, b): each node of a bucket with the smallest one there, where they are close."""
+        tables = nodes.select("node", *self.words, self._homes()).select("node", *self.words, "p.seg", "p.key")
+        first = tables.groupBy("seg", "key").agg(F.min(F.struct("node", *self.words)).alias("m"), F.count("*").alias("n")).filter("n > 1")
+        first = first.select("seg", "key", F.col("m.node").alias("a"), *(F.col(f"m.{w}").alias(f"m_{w}") for w in self.words))
+        stars = tables.join(first, ["seg", "key"]).filter((F.col("a") != F.col("node")) & _close("", "m_", self.words, self.distance))
+        return stars.select("a", F.col("node").alias("b"))
+
+    def lookups(self, known: DataFrame) -> DataFrame:
+        """(a, b, a_root, b_root): nodes of (node, root, fp0, ...) that are close and have different roots."""
+        asked = known.select("node", "root", *self.words, F.explode(F.concat(*(_probes(i, s) for i, s in enumerate(self.plan)))).alias("p"))
+        asked = asked.select(F.col("node").alias("a"), F.col("root").alias("a_root"), *(F.col(w).alias(f"a_{w}") for w in self.words), "p.seg", "p.key")
+        tables = known.select("node", "root", *self.words, self._homes())
+        tables = tables.select(F.col("node").alias("b"), F.col("root").alias("b_root"), *(F.col(w).alias(f"b_{w}") for w in self.words), "p.seg", "p.key")
+        links = asked.join(tables, ["seg", "key"]).filter((F.col("a_root") != F.col("b_root")) & _close("a_", "b_", self.words, self.distance))
+        turned = F.col("a") > F.col("b")
+        return links.select(*(F.when(turned, two).otherwise(F.col(one)).alias(one) for one, two in (
+            ("a", F.col("b")), ("b", F.col("a")), ("a_root", F.col("b_root")), ("b_root", F.col("a_root")))))
+
+
 def node_components(nodes: DataFrame, words: list[str], distance: int, plan: list[Segment], steps: Steps) -> DataFrame:
     """(node, root) of all nodes, from (node, fp0, ...), node a number that differs for different fingerprints."""
-    homes = F.array(*(F.struct(F.lit(i).alias("seg"), s.key().alias("key")) for i, s in enumerate(plan)))
-    tables = nodes.select("node", *words, F.explode(homes).alias("p")).select("node", *words, "p.seg", "p.key")
-    first = tables.groupBy("seg", "key").agg(F.min(F.struct("node", *words)).alias("m"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("seg", "key", F.col("m.node").alias("a"), *(F.col(f"m.{w}").alias(f"m_{w}") for w in words))
-    stars = tables.join(first, ["seg", "key"]).filter((F.col("a") != F.col("node")) & _close("", "m_", words, distance))
-    near = components(stars.select("a", F.col("node").alias("b")), steps)
+    index = BitIndex(words, distance, plan)
+    near = components(index.stars(nodes), steps)
     known = steps.write(nodes.join(near, "node", "left").select("node", *words, F.coalesce("root", "node").alias("root")), "known")
-
-    asked = known.select("root", *words, F.explode(F.concat(*(_probes(i, s) for i, s in enumerate(plan)))).alias("p"))
-    asked = asked.select(F.col("root").alias("a"), *(F.col(w).alias(f"a_{w}") for w in words), "p.seg", "p.key")
-    tables = known.select("root", *words, F.explode(homes).alias("p"))
-    tables = tables.select(F.col("root").alias("b"), *(F.col(w).alias(f"b_{w}") for w in words), "p.seg", "p.key")
-    links = asked.join(tables, ["seg", "key"]).filter((F.col("a") != F.col("b")) & _close("a_", "b_", words, distance))
-    merged = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), steps)
-    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    links = index.lookups(known).select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+    merged = components(links, steps).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return known.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
@@ -146,16 +158,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, words).select("doc_id", *words, "component_id")
 
 
+STAGE_BITS = 24  # candidates differ in no more of 128 bits; 19.4 are expected at a similarity of 0.8
+STAGE_PLAN = segment_plan(11, 3, 2)  # whatever differs in 11 bits or fewer is a candidate, farther ones where a segment is close
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                         least: tuple[int, int] = LEAST) -> DataFrame:
+                         least: tuple[int, int] = LEAST, bands: int = BANDS) -> DataFrame:
     """docs with the document of the smallest id of each component; all columns and names stay as they are.
 
-    Links are pairs of texts whose five-word shingles have a similarity of 0.8 as multisets, by the shingles and not by
-    fingerprints: 128 bits scatter by 4 around the 19.4 that are expected there, so they can only guess.
+    Links are pairs of texts whose five-word shingles have a similarity of 0.8 as multisets. Multi-index hashing of fingerprints
+    of 128 bits brings the candidates, and the shingles decide: bits scatter by 4 around the 19.4 that are expected
+    there, so they can only guess. Pairs beyond the reach of the index come from bands of minhashes, see ``shingles``.
 
     Rows that repeat the id that stays are one document and stay. Rows of null id stay only where their component has
     no id at all."""
-    found = similar_components(docs, id_col, text_col, width, least)
+    found = similar_components(docs, BitIndex(WORDS, STAGE_BITS, STAGE_PLAN), id_col, text_col, width, least, bands)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     gone = Steps(docs.sparkSession, "simhash-gone").write(gone, "ids")
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -74,3 +74,30 @@ def test_groups_against_all_pairs(spark, monkeypatch, block):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     assert kept(spark, texts) == {find(i) for i in texts} >= {*range(200, 260), 300}
+
+
+def differing(a, b):
+    prints = (shingles.wide_fingerprint(shingles.shingle_hashes(" ".join(t).encode(), WIDTH)) for t in (a, b))
+    return sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(*prints, strict=True))
+
+
+def test_the_index_of_fingerprints_finds_what_it_can_reach(spark):
+    """Without bands: every pair of 11 or fewer differing bits, most others of 0.9, none below 0.8, and groups of copies of copies."""
+    rng, texts, near, found = random.Random(5), {}, set(), {}
+    for band in (0.7, 0.78, 0.9, 0.95):
+        for _ in range(60):
+            n = rng.randrange(150, 400)
+            a = words(rng, n + WIDTH - 1)
+            i = len(texts)
+            texts[i], texts[i + 1] = a, copy_of(rng, a, band, n)
+            found[i + 1] = band
+            if band > 0.8 and differing(texts[i], texts[i + 1]) <= 11:
+                near.add(i + 1)
+    chain = [words(rng, 300)]
+    for i in range(40):
+        chain.append(chain[-1][:7 * i] + words(rng, 1) + chain[-1][7 * i + 1:])
+    texts |= {1_000 + i: t for i, t in enumerate(chain)}
+    left = kept(spark, texts, bands=0)
+    assert len(near) > 60 and not near & left and 1_000 in left and not left & {*range(1_001, 1_041)}
+    assert all(i in left for i in texts if i < 1_000 and found.get(i, 0) < 0.8)
+    assert sum(i not in left for i, band in found.items() if band >= 0.9) > 0.9 * 120
