@@ -164,10 +164,12 @@ class _Chunk:
         own = docs[source] == docs[order]
         fresh[1:] |= own[1:] & (texts[order[1:]] != texts[order[:-1]])  # another text of that id sends the path too
         sent, told, owner = order[fresh], order[~own], source[~own]
+        line = np.argsort(sent, kind="stable")  # paths of one document next to each other: what they share is compressed in the shuffle
         again = own & ~fresh  # further places in that document travel with the first
         places = np.bincount(np.cumsum(fresh)[again] - 1, minlength=len(sent)) if len(sent) else np.empty(0, np.int64)
         more = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer((np.concatenate(([0], np.cumsum(places))) * 8).astype(np.int32).tobytes()),
-                                                              pa.py_buffer(start[order[again]].astype("<i8").tobytes())])
+                                                              pa.py_buffer(start[order[again]].astype("<i8").tobytes())]).take(pa.array(line))
+        sent = sent[line]
         data = np.ascontiguousarray(edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
         binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((offsets * WIDTH).astype(np.int32).tobytes()), pa.py_buffer(data)])
         none, last = pa.nulls(len(sent), pa.int64()), pa.nulls(len(told), pa.binary())
@@ -266,12 +268,25 @@ def _meet(rows: int = 100_000):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMIZER,
                    chunk_words: int = CHUNK_WORDS, heavy_paths: int = HEAVY_PATHS) -> DataFrame:
     """(doc, text, start, n, owner, owner_start): n words from word `start` on that stand in the document `owner`, the smallest id
-    that holds their first window, from owner_start on. `text` is the XXH64 of the text, for rows that share an id. Every
+    that holds their first window, from owner_start on. `text` is the XXH64 of the text for rows that share an id, else 0. Every
     window that an earlier document holds lies in a span. k is at most 32."""
-    small_batches(docs.sparkSession)
-    steps = Steps(docs.sparkSession, "debruijn-counts")
+    return _spans(_bodies(docs, id_col, text_col), k, m, chunk_words, heavy_paths)
+
+
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, body): `text` is the XXH64 of the text where other rows share the id, else 0, which takes no room in a shuffle."""
+    steps = Steps(docs.sparkSession, "debruijn-ids")
+    ids = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc")).count()
+    shared = steps.write(ids.filter("count > 1").select("doc", F.lit(True).alias("shared")), "shared")  # mostly none, and a join without a shuffle
     body = F.encode(text_of(text_col), "utf-8")
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(body).alias("text"), body.alias("body"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), body.alias("body")).join(shared, "doc", "left")
+    return rows.select("doc", F.when(F.col("shared"), F.xxhash64("body")).otherwise(F.lit(0).cast("bigint")).alias("text"), "body")
+
+
+def _spans(rows: DataFrame, k: int, m: int = MINIMIZER, chunk_words: int = CHUNK_WORDS, heavy_paths: int = HEAVY_PATHS) -> DataFrame:
+    small_batches(rows.sparkSession)
+    steps = Steps(rows.sparkSession, "debruijn-counts")
+    rows = rows.filter("doc IS NOT NULL")
     counts = rows.mapInArrow(_chunks(k, chunk_words, lambda c: c.counts(k, m)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = steps.write(counts, "counts")
     every = counts.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
@@ -312,9 +327,8 @@ def _cut_out(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (words joined by single spaces) and kept_sha256."""
     steps = Steps(docs.sparkSession, "debruijn")
-    spans = repeated_spans(docs, id_col, text_col, k, **options)
+    rows = _bodies(docs, id_col, text_col)
+    spans = _spans(rows, k, **options)
     spans = steps.write(spans.groupBy("doc", "text").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")  # of one document each
-    body = F.encode(text_of(text_col), "utf-8")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(body).alias("text"), body.alias("body"))
     return rows.join(spans, ["doc", "text"], "left").select("doc", "body", "spans").mapInArrow(
         _cut_out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
