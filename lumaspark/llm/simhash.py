@@ -63,8 +63,12 @@ class Segment:
     bits: int
     radius: int
 
-    def key(self) -> Column:
-        return F.shiftrightunsigned(f"fp{self.word}", self.shift).bitwiseAND(F.lit((1 << self.bits) - 1))
+    def key(self, side: str = "") -> Column:
+        return F.shiftrightunsigned(f"{side}fp{self.word}", self.shift).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    def differing(self, mixed: list[np.ndarray]) -> np.ndarray:
+        """Bits of the segment that are set in the words of a fingerprint."""
+        return np.bitwise_count((mixed[self.word] >> np.uint64(self.shift)) & np.uint64((1 << self.bits) - 1))
 
 
 def segment_plan(distance: int, per_word: int, words: int = 1) -> list[Segment]:
@@ -92,7 +96,7 @@ def _probes(i: int, segment: Segment) -> Column:
     """Keys of the ball that are not below the node's own: of two nodes, the one with the smaller segment finds the other."""
     masks = F.array(*(F.lit(m).cast("bigint") for m in ball(segment.bits, segment.radius)))
     keys = F.filter(F.transform(masks, lambda m: segment.key().bitwiseXOR(m)), lambda k: k >= segment.key())
-    return F.transform(keys, lambda k: F.struct(F.lit(i).alias("seg"), k.alias("key")))
+    return F.transform(keys, lambda k: F.struct(F.lit(i).alias("seg"), k.alias("key"), (k == segment.key()).alias("own")))
 
 
 def _close(left: str, right: str, words: list[str], distance: int) -> Column:
@@ -130,6 +134,34 @@ class BitIndex:
         return links.select(*(F.when(turned, two).otherwise(F.col(one)).alias(one) for one, two in (
             ("a", F.col("b")), ("b", F.col("a")), ("a_root", F.col("b_root")), ("b_root", F.col("a_root")))))
 
+    def meetings(self, known: DataFrame, steps: Steps) -> DataFrame:
+        """(seg, key, node, root, home, fp0, ...): what ``lookups`` lists as pairs, as the two sides of each bucket. Every pair meets
+        in the first segment that is close, once: of the node at home there and the one that looks it up. A node has no more rows than
+        it has keys to look up, and only where it meets one, however large the group it belongs to."""
+        asked = known.select("node", "root", *self.words, F.explode(F.concat(*(_probes(i, s) for i, s in enumerate(self.plan)))).alias("p"))
+        asked = asked.select(F.col("node").alias("a"), F.col("root").alias("a_root"), *(F.col(w).alias(f"a_{w}") for w in self.words), "p.*")
+        tables = known.select("node", "root", *self.words, self._homes())
+        tables = tables.select(F.col("node").alias("b"), F.col("root").alias("b_root"), *(F.col(w).alias(f"b_{w}") for w in self.words),
+                               F.col("p.seg").alias("b_seg"), F.col("p.key").alias("b_key"))
+        meet = (F.col("seg") == F.col("b_seg")) & (F.col("key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root"))
+        meet &= (~F.col("own") | (F.col("a") > F.col("b"))) & _close("a_", "b_", self.words, self.distance)
+        for i, s in enumerate(self.plan[:-1]):
+            meet &= (F.col("seg") <= i) | (F.bit_count(s.key("a_").bitwiseXOR(s.key("b_"))) > s.radius)
+        finders = steps.write(asked.join(tables, meet, "left_semi"), "finders")
+        homes = tables.join(finders, meet, "left_semi")
+        both = [("a", finders, "seg", "key", False), ("b", homes, F.col("b_seg").alias("seg"), F.col("b_key").alias("key"), True)]
+        one, two = (rows.select(seg, key, F.col(c).alias("node"), F.col(f"{c}_root").alias("root"), F.lit(home).alias("home"),
+                                *(F.col(f"{c}_{w}").alias(w) for w in self.words)) for c, rows, seg, key, home in both)
+        return one.unionByName(two)
+
+    def meet(self, seg: int, homes: list[np.ndarray], finders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For nodes at home in a bucket and those that look it up, by their words: which meet there, and which of these have the bucket's key both."""
+        mixed = [h[:, None] ^ f[None, :] for h, f in zip(homes, finders, strict=True)]
+        found = sum(np.bitwise_count(m).astype(np.int64) for m in mixed) <= self.distance
+        for s in self.plan[:seg]:
+            found &= s.differing(mixed) > s.radius
+        return found, self.plan[seg].differing(mixed) == 0
+
 
 def node_components(nodes: DataFrame, words: list[str], distance: int, plan: list[Segment], steps: Steps) -> DataFrame:
     """(node, root) of all nodes, from (node, fp0, ...), node a number that differs for different fingerprints."""

@@ -101,3 +101,41 @@ def test_the_index_of_fingerprints_finds_what_it_can_reach(spark):
     assert len(near) > 60 and not near & left and 1_000 in left and not left & {*range(1_001, 1_041)}
     assert all(i in left for i in texts if i < 1_000 and found.get(i, 0) < 0.8)
     assert sum(i not in left for i, band in found.items() if band >= 0.9) > 0.9 * 120
+
+
+def test_a_group_that_is_close_but_not_alike_is_not_listed_pair_by_pair(spark, monkeypatch):
+    """Texts of one base, each with two edits of its own: fingerprints close, similarities mostly below 0.8. Four times the group
+    makes no table sixteen times as long, and the components are those of all pairs."""
+    made, write = [], simhash.Steps.write
+
+    def counted(self, df, name="step", partition_by=()):
+        out = write(self, df, name, partition_by)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Steps, "write", counted)
+    rng, most = random.Random(6), {}
+    base = words(rng, 120)
+    for n in (150, 600):
+        texts = {}
+        for i in range(n):
+            texts[i] = list(base)
+            for at in rng.sample(range(10, 110), 2):
+                texts[i][at] = f"x{rng.random()}"
+        made.clear()
+        left = kept(spark, texts)
+        most[n] = max(made)
+        sets = {i: {tuple(t[k:k + WIDTH]) for k in range(len(t) - WIDTH + 1)} for i, t in texts.items()}
+        parent = {i: i for i in texts}
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        for i in texts:
+            for j in range(i):
+                shared = len(sets[i] & sets[j])
+                if 9 * shared >= 4 * (len(sets[i]) + len(sets[j])):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        assert left == {find(i) for i in texts}
+    assert most[600] <= 10 * most[150], most
