@@ -17,6 +17,7 @@ DIRECTIONS = {"left": ("x", -1), "right": ("x", 1), "up": ("y", -1), "down": ("y
 DRIFT = 5.0  # weight of squared sideways distance
 WRAP_DRIFT = 2.0  # weight of sideways distance when stepping over the edge
 TILE_ROWS = 2048
+ASKING_ROWS = 512  # stacks that a task compares with others at once
 FEW_EDGES = 32  # up to here, wrapping steps are aggregates over the points
 
 
@@ -122,6 +123,14 @@ def _tile_pairs(tiled: DataFrame, tiles: int) -> DataFrame:
     return materialize(pairs.select(F.col("q").alias("tile"), F.col("o").alias("other"), "dirs"))
 
 
+def _asked_together(pairs: DataFrame, asking: int, asked: int) -> DataFrame:
+    """(block, part, other, dirs): ``asking`` neighbours along the curve ask as one block, ``asked`` tiles at a time. Small tiles ask many,
+    mostly the same as their neighbours; more candidates than a tile needs change no minimum."""
+    blocks = pairs.groupBy(F.floor(F.col("tile") / asking).cast("bigint").alias("block"), "other").agg(F.bit_or("dirs").alias("dirs"))
+    per_block = Window.partitionBy("block").orderBy("other")  # a row per tile that is asked, not per stack
+    return materialize(blocks.withColumn("part", F.floor((F.row_number().over(per_block) - 1) / asked).cast("int")))
+
+
 def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     empty = pd.DataFrame({"gid": [], "dir": [], "cost": [], "dst": []})
     if left.empty or right.empty:
@@ -129,8 +138,8 @@ def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     right = right.sort_values("gid")
     rx, ry, ids = right["x"].to_numpy(), right["y"].to_numpy(), right["gid"].to_numpy()
     dirs, out = int(left["dirs"].iloc[0]), []
-    for at in range(0, len(left), 512):
-        part = left.iloc[at:at + 512]
+    for at in range(0, len(left), ASKING_ROWS):
+        part = left.iloc[at:at + ASKING_ROWS]
         vx, vy = rx[None, :] - part["x"].to_numpy()[:, None], ry[None, :] - part["y"].to_numpy()[:, None]
         for bit, (name, (axis, sign)) in enumerate(DIRECTIONS.items()):
             if not dirs >> bit & 1:
@@ -147,10 +156,12 @@ def _step_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def _steps_ahead(stacks: DataFrame, box, tile_rows: int) -> DataFrame:
     """(gid, dir, dst) for every stack that has a point ahead of it."""
     tiled, tiles = _tiles(stacks, box, tile_rows)
-    pairs = _tile_pairs(tiled, tiles)
-    asking = tiled.join(pairs, "tile").select("tile", "other", "dirs", "gid", "x", "y")
-    asked = tiled.withColumnRenamed("tile", "other").join(pairs, "other").select("tile", "other", "gid", "x", "y")
-    found = pair_groups(asking, asked, ["tile", "other"], _step_kernel, "gid bigint, dir string, cost double, dst bigint")
+    side = max(1, ASKING_ROWS // tile_rows)
+    pairs = _asked_together(_tile_pairs(tiled, tiles), side, max(1, TILE_ROWS // tile_rows))
+    parts = pairs.groupBy("block", "part").agg(F.bit_or("dirs").alias("dirs"))
+    asking = tiled.withColumn("block", F.floor(F.col("tile") / side).cast("bigint")).join(parts, "block").select("block", "part", "dirs", "gid", "x", "y")
+    asked = tiled.withColumnRenamed("tile", "other").join(pairs, "other").select("block", "part", "gid", "x", "y")
+    found = pair_groups(asking, asked, ["block", "part"], _step_kernel, "gid bigint, dir string, cost double, dst bigint")
     best = found.groupBy("gid", "dir").agg(F.min(F.struct("cost", "dst")).alias("b"))
     return best.select("gid", "dir", F.col("b.dst").alias("dst"))
 

@@ -178,6 +178,22 @@ def test_step_examples(spark, pts, start, direction, want):
     assert (got["direction"], got["next_id"]) == (direction, want)
 
 
+def test_small_tiles_ask_many_others_at_once(spark, monkeypatch):
+    """Calls of the comparing function are bounded by rows, not by pairs of small tiles."""
+    calls, groups = [], navigate.pair_groups
+
+    def counted(left, right, keys, *rest):
+        calls.append(left.select(*keys).distinct().count())
+        return groups(left, right, keys, *rest)
+
+    monkeypatch.setattr(navigate, "pair_groups", counted)
+    pts = [(float(i % 40 * 3), float(i // 40 * 2)) for i in range(1600)]
+    got = {r["media_id"]: r for r in navigate.nav_graph(pts_df(spark, pts), tile_rows=16).collect()}
+    assert len(got) == 1600 and calls[0] <= 8  # 100 tiles or more, each asking dozens of others
+    for i in (0, 39, 819, 1599):
+        assert [got[i][d] for d in ("left", "right", "up", "down")] == [brute_step(pts, i, d) for d in ("left", "right", "up", "down")]
+
+
 @pytest.mark.parametrize("case,few", [("random", 32), ("random", 0), ("grid", 0), ("stacked", 32), ("stacked", 0), ("golden", 32)])
 def test_nav_graph(spark, case, few):
     pts = {"random": [tuple(p) for p in RNG.normal(size=(150, 2))],
