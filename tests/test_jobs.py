@@ -505,3 +505,56 @@ def test_large_samples_are_those_of_the_order(spark):
     order = [r["media_id"] for r in df.orderBy(sample_order("media_id", 3), "media_id").collect()]
     for n in (900, 1_500, 12_000, 29_999, 40_000):
         assert {r["media_id"] for r in sample_n(df, n, 3).collect()} == set(order[:n])
+
+
+def _crowd(spark, n=260):
+    """Clumps of a few items' width, not all in reach of each other, and a stack of three."""
+    rng = np.random.default_rng(11)
+    xy = rng.uniform(-260, 260, size=(n // 10, 2)).repeat(10, axis=0) + rng.normal(size=(n // 10 * 10, 2)) * 9
+    xy[:3] = xy[0]
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "media_id long, x double, y double")
+
+
+def test_rounds_of_tiles_alone_are_rounds_of_all_tiles(spark):
+    from lumaspark.operators import spread
+
+    stacks = spread.materialize(spread.to_stacks(_crowd(spark)).withColumn("deg", F.lit(0).cast("bigint")))
+    for side, rounds in ((90.0, 4), (130.0, 5), (60.0, 2)):
+        alone = spread.rounds_alone(stacks, side, rounds, side == 90.0).toPandas().sort_values("gid")
+        for _ in range(rounds):
+            stacks = spread.materialize(spread.one_round(stacks, 400.0))
+        whole = stacks.toPandas().sort_values("gid")
+        assert alone["gid"].tolist() == whole["gid"].tolist() and alone["deg"].tolist() == whole["deg"].tolist() and whole["deg"].max() > 0
+        assert np.allclose(alone[["x", "y"]], whole[["x", "y"]], rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("ids, crowd", [("media_id", 1 << 28), ("media_id", 1), ("media_id DIV 2", 1 << 28), ("IF(media_id = 7, NULL, media_id)", 1 << 28)])
+def test_many_rounds_are_one_step_unless_tiles_are_crowded_or_ids_repeat(spark, monkeypatch, ids, crowd):
+    from lumaspark.operators import spread
+
+    steps = []
+    monkeypatch.setattr(spread, "_CROWD", crowd)
+    monkeypatch.setattr(spread, "next_round", lambda before, df, kept=spread.next_round: steps.append(1) or kept(before, df))
+    pts = _crowd(spark, 80).selectExpr(f"{ids} AS media_id", "x", "y")
+
+    def rows():
+        steps.clear()
+        out = spread.spread(pts, density=0.4, max_rounds=9, rows_per_tile=64).collect()
+        return sorted((r["media_id"] or -1, round(r["x"], 6), round(r["y"], 6)) for r in out), len(steps)
+
+    got, taken = rows()
+    monkeypatch.setattr(spread, "AT_ONCE", ())
+    assert rows() == (got, 9) and taken == (1 if ids == "media_id" and crowd > 1 else 9)
+
+
+def test_near_pairs_are_all_pairs_in_reach(monkeypatch):
+    from lumaspark.operators import spread
+
+    monkeypatch.setattr(spread, "_PAIRS", 50)
+    rng = np.random.default_rng(5)
+    x, y = rng.uniform(-300, 300, 90), rng.uniform(-80, 500, 90)
+    x[:4], y[:4] = 10.0, 20.0
+    rows = np.arange(0, 90, 2)
+    got = {(int(i), int(j)) for some in spread._near(x, y, rows) for i, j in zip(some[0], some[1])}
+    d = np.hypot(x[:, None] - x, y[:, None] - y)
+    assert got == {(i, j) for i in rows.tolist() for j in range(90) if 0 < d[i, j] < spread.ITEM}
