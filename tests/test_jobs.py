@@ -539,22 +539,29 @@ def test_many_rounds_are_one_step_unless_tiles_are_crowded_or_ids_repeat(spark,
 
     def rows():
         steps.clear()
-        out = spread.spread(pts, density=0.4, max_rounds=9, rows_per_tile=64).collect()
+        out = spread.spread(pts, density=0.4, max_rounds=4, rows_per_tile=64).collect()
         return sorted((r["media_id"] or -1, round(r["x"], 6), round(r["y"], 6)) for r in out), len(steps)
 
     got, taken = rows()
     monkeypatch.setattr(spread, "AT_ONCE", ())
-    assert rows() == (got, 9) and taken == (1 if ids == "media_id" and crowd > 1 else 9)
+    assert rows() == (got, 4) and taken == (1 if ids == "media_id" and crowd > 1 else 4)
 
 
-def test_near_pairs_are_all_pairs_in_reach(monkeypatch):
+@pytest.mark.parametrize("block", [1, 100, 1 << 12])
+def test_pushes_are_those_of_all_pairs(monkeypatch, block):
     from lumaspark.operators import spread
 
     monkeypatch.setattr(spread, "_PAIRS", 50)
+    monkeypatch.setattr(spread, "_BLOCK", block)
     rng = np.random.default_rng(5)
-    x, y = rng.uniform(-300, 300, 90), rng.uniform(-80, 500, 90)
+    x, y = rng.uniform(-300, 300, 150), rng.uniform(-80, 500, 150)
+    x[4:40], y[4:40] = rng.uniform(0, 60, 36), rng.uniform(0, 60, 36)
     x[:4], y[:4] = 10.0, 20.0
-    rows = np.arange(0, 90, 2)
-    got = {(int(i), int(j)) for some in spread._near(x, y, rows) for i, j in zip(some[0], some[1])}
-    d = np.hypot(x[:, None] - x, y[:, None] - y)
-    assert got == {(i, j) for i in rows.tolist() for j in range(90) if 0 < d[i, j] < spread.ITEM}
+    weight, moved = rng.integers(1, 4, 150).astype(float), rng.random(150) < 0.6
+    sums = np.zeros((3, 150))
+    spread._add_pushes(x, y, weight, moved, np.flatnonzero(moved), sums)
+    dx, dy = x - x[:, None], y - y[:, None]
+    d = np.hypot(dx, dy)
+    met = (d > 0) & (d < spread.ITEM) & (moved | moved[:, None])
+    f = np.where(met, ((spread.ITEM - d) / 2 + spread.NUDGE) / np.where(d > 0, d, 1), 0) * weight
+    assert np.allclose(sums, [-(f * dx).sum(1), -(f * dy).sum(1), (met * weight).sum(1)], rtol=0, atol=1e-9)
